@@ -7,25 +7,46 @@ position. Only hashes and positions are shuffled; a text moves once, to meet the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import SALTS, WS, ascii_lower, cut, sized_join, table
+from foldwright.llm.common import SPACE, cut, sized_join, small_batches, table
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
+def line_key(line: str) -> bytes:
     """The line without white space at its ends, A-Z in lower case."""
-    return ascii_lower(F.regexp_replace(line, rf"^[{WS}]+|[{WS}]+$", ""))
+    return line.strip(SPACE).encode().lower()  # lower() of bytes knows A-Z only
+
+
+def hashed_lines(own: DataFrame) -> DataFrame:
+    """(_id, _sum, text) to a row for each line with a key: position, 128 bits of the key, first of its key in the text."""
 
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, pos, key, first = [], [], [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                seen = set()
+                for p, line in enumerate(t.split("\n")):
+                    if k := line_key(line):
+                        h = xxhash.xxh128_digest(k)
+                        doc.append(i), pos.append(p), key.append(h), first.append(h not in seen)
+                        seen.add(h)
+            ab = np.frombuffer(b"".join(key), "<i8").reshape(-1, 2)
+            at = pa.array(doc, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_id").take(at), b.column("_sum").take(at), pa.array(pos, pa.int32()), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), pa.array(first, pa.bool_())], names=["_id", "_sum", "pos", "a", "b", "first"]
+            )
 
-def _hashed(line: Column) -> Column:
-    """128 bits of a line's key; null for an empty key."""
-    k = line_key(line)
-    return F.when(k != "", F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b")))
+    return own.mapInArrow(lines, f"_id {own.schema['_id'].dataType.simpleString()}, _sum long, pos int, a long, b long, first boolean")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,13 +54,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
 
     A row is a document, so a repeated row counts again. Null or empty texts have one empty line, whose key is
     empty and never dropped. Null ids are ids of their own. Lines longer than any other are hashed whole. Other
-    columns of docs are kept as they are; an empty table gives an empty table.
+    columns of docs are kept as they are, if none begins with an underscore; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_sum"), F.transform(lines_of(F.col(text_col)), _hashed).alias("_h"))
-    once = own.select(F.explode(F.array_distinct("_h")).alias("h")).where("h is not null").select("h.a", "h.b")
-    common = cut(once.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
-    at = own.select("_id", "_sum", F.posexplode("_h").alias("pos", "h")).where("h is not null").select("_id", "_sum", "pos", "h.a", "h.b")
+    small_batches(spark)
+    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_sum"), F.coalesce(text_col, F.lit("")).alias("text"))
+    at = hashed_lines(own)
+    common = cut(at.where("first").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
+    at = at.select("_id", "_sum", "pos", "a", "b")
     hits = sized_join(at, common, ["a", "b"], "left_semi")
     lost = hits.groupBy("_id", "_sum").agg(F.sort_array(F.collect_set("pos")).alias("_lost"))
     # positions to flags: false for each line kept, true for each lost, as far as the last one lost

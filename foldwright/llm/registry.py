@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from foldwright.llm import bpe, line_dedup, mixing, quality, token_counts, topk
+from foldwright.llm import bpe, line_dedup, mixing, near_dup, quality, token_counts, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality": quality.op2_quality,
     "op4_mixing": mixing.op4_mixing,
     "op6_topk": topk.op6_topk,
+    "op7_near_dup": near_dup.op7_near_dup,
     "op9_bpe": bpe.op9_bpe,
     "op10_token_counts": token_counts.op10_token_counts,
 }
@@ -16,4 +17,5 @@ ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_quality": quality.OP2_SQL,
     "op6_topk": topk.OP6_SQL,
+    "op7_near_dup": near_dup.OP7_SQL,
 }
