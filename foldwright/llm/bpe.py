@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import small_batches, table
+from foldwright.llm.common import ship, small_batches, table
+
+ship(__name__)
 
 WORD_BPE = "word_bpe_49k.json"
 LEAF, WINDOW = 4096, 32

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 
 
+def ship(module: str) -> None:
+    """Sends a module's functions to executors by value, so that they need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,3 +79,6 @@ def sized_join(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "l
         df = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
         other, salts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_salt"]
     return eq_join(df, other, [*on, *salts], how).drop(*salts)
+
+
+ship(__name__)

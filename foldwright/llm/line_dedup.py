@@ -15,7 +15,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import SPACE, cut, sized_join, small_batches, table
+from foldwright.llm.common import SPACE, cut, ship, sized_join, small_batches, table
+
+ship(__name__)
 
 
 def lines_of(text: Column) -> Column:

@@ -6,8 +6,8 @@ threshold is missed in all tables with a probability of about 2 * (1 - s ** r) *
 
 Equal sets are one class, whose smallest id stands for it, so copies never meet each other. In a bucket each
 member is first held against the bucket's smallest id alone. Only members that are still in another component
-than some other member of their bucket are then held against those, after exact bounds: sizes, and the triangle
-inequality of the Jaccard distance by way of the smallest id. All links are confirmed on full sets.
+than some other member of their bucket go on, and of those only pairs that share a shingle rare enough to make
+the similarity possible (prefix and position bounds, which lose no pair). All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import BROADCAST_ROWS, cut, small_batches, table
+from foldwright.llm.common import BROADCAST_ROWS, cut, ship, small_batches, table
+
+ship(__name__)
 
 SHINGLE = 5
 HALVES, ROWS = 9, 2
@@ -135,6 +137,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("id"), F.col("l").alias("component"))
 
 
+def sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, part, s) to the pairs (x, y) of different parts whose sets may be as similar as that; none is lost.
+
+    A set's shingles are ordered by how few of the sets hold them. Two sets of that similarity have a shingle in
+    common near the beginnings of both, and what lies behind it must suffice for the overlap they need.
+    """
+    one = sets.select("id", "n", "part", F.explode("s").alias("t"))
+    held = one.groupBy("t").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("id").orderBy("df", "t")
+    head = one.join(held, "t").withColumn("i", F.row_number().over(w)).where((F.col("df") > 1) & (100 * (F.col("i") - 1) <= (100 - percent) * F.col("n")))
+    l, r = head.alias("l"), head.alias("r")
+    behind = 1 + F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i"))
+    cond = (F.col("l.t") == F.col("r.t")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.part") != F.col("r.part"))
+    cond &= (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & ((100 + percent) * behind >= percent * (F.col("l.n") + F.col("r.n")))
+    return l.join(r, cond).select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct()
+
+
 def near_components(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, halves: int = HALVES, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) for every row of docs; ids are whole numbers.
 
@@ -162,28 +181,13 @@ def near_components(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     links = tried.where(linked).select("x", "y")
     parts = components(links)
 
-    # members of a bucket that are in different components still, with their similarity to the bucket's pivot
-    left = members.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    # members of buckets that hold several components still
+    left = members.select("key", "id", "n").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
     mixed = left.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    left = left.where("id <> pivot").join(mixed, "key")
-    sim = tried.groupBy(F.col("x").alias("id"), F.col("y").alias("pivot")).agg(F.max(F.col("common") / F.col("either")).alias("sim"))
-    left = cut(left.join(sim, ["id", "pivot"], "left").select("key", "id", "n", "part", "sim"))
-    l, r = left.alias("l"), left.alias("r")
-    reach = 1 - percent / 100 + 1e-9
-    rest = l.join(
-        r,
-        (F.col("l.key") == F.col("r.key"))
-        & (F.col("l.id") < F.col("r.id"))
-        & (F.col("l.part") != F.col("r.part"))
-        & fits(F.col("l.n"), F.col("r.n"))
-        & F.coalesce(F.abs(F.col("l.sim") - F.col("r.sim")) <= reach, F.lit(True)),
-    )
-    rest = cut(rest.select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct())
-    more = confirmed(rest, sets).where(linked).select("x", "y")
-    if rest.isEmpty():
-        pass
-    else:
-        links = cut(links.union(more))
+    left = cut(left.join(mixed, "key", "left_semi").select("id", "n", "part").distinct())
+    rest = cut(sharing_rare(left.join(sets, "id"), percent))
+    if not rest.isEmpty():
+        links = cut(links.union(confirmed(rest, sets).where(linked).select("x", "y")))
         parts = components(links)
     of_class = classes.select("d1", "d2", "id").join(parts, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     least = cut(of_class.groupBy("d1", "d2").agg(F.min("component").alias("component")))

@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.llm.bpe import vocabulary
-from foldwright.llm.common import small_batches, table
+from foldwright.llm.common import ship, small_batches, table
+
+ship(__name__)
 
 PIECE_BPE = "piece_bpe_32k.model"
 LIMIT = 4096

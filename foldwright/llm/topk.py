@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import cut, table
+from foldwright.llm.common import cut, ship, table
+
+ship(__name__)
 
 QUERY_TILE, TILE, FAN = 1024, 8192, 16
 LONG = np.iinfo(np.int64)
