@@ -56,6 +56,13 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def settled(df: DataFrame, made: Sequence[str]) -> DataFrame:
+    """Keeps filters from above from going below the columns `made`, where they would work them out again and again."""
+    rest = [c for c in df.columns if c not in made]
+    one = df.select(*rest, F.explode(F.array(F.struct(*made))).alias("_made"))
+    return one.select(*rest, *[F.col(f"_made.{c}") for c in made])
+
+
 def eq_join(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on columns of the same names; nulls match nulls; df's columns, then those of other not joined on."""
     cond = F.lit(True)

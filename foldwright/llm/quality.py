@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import WS, cut, eq_join, sized_join, table, words_of
+from foldwright.llm.common import WS, cut, eq_join, settled, sized_join, table, words_of
 
 #: A sketch needs so many documents; else the next wider one serves.
 MIN_GROUP = 20
@@ -49,7 +49,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform("_p", lambda p, i: F.when(i == 0, F.lit(3).cast("long")).otherwise(F.least(F.lit(3).cast("long"), p - F.get("_p", i - 1)))), F.lit(0).cast("long"), lambda a, x: a + x
     )
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(rf"[^{WS}]"))
-    return (
+    df = (
         df.withColumn("_n_words", F.size("_w").cast("long"))
         .withColumn("_word_chars", F.char_length(F.array_join("_w", "")).cast("long"))
         .withColumn("_n_symbols", F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"))
@@ -58,8 +58,9 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("_n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
         .withColumn("_n_repeat_words", covered)
         .drop("_w", "_p", "_l")
-        .withColumn("_base_failed", (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words")))
     )
+    df = settled(df, ["_n_words", "_word_chars", "_n_symbols", "_n_lines", "_n_dup_lines", "_n_repeat_words"])
+    return df.withColumn("_base_failed", (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words")))
 
 
 def _metrics() -> dict[str, Column]:
