@@ -29,67 +29,85 @@ ship(__name__)
 PRIOR, SHARE = 1.0, 1.0
 ADD = 0.1
 #: Bytes of text in a block, and n-grams in a bucket, on average.
-BLOCK_BYTES, BUCKET_GRAMS = 6 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_GRAMS = 8 << 20, 1 << 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 END = b""
 
 
+class _Ids(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = len(self)
+        return out
+
+
 class Block:
-    """Token ids of a block's documents, and the hashes of its words and bigrams, each sorted."""
+    """Tokens of a block's documents end to end, and hashes of its words and bigrams, sorted and of `bits` bits."""
 
-    def __init__(self, texts: list[str], train: np.ndarray):
-        ids, vocab = {END: 0}, None
-        self.docs = []
+    def __init__(self, texts: list[str], train: np.ndarray, bits: int):
+        ids = _Ids({END: 0})
+        number, flat, size = ids.__getitem__, [], []
         for t in texts:
-            doc = [ids.setdefault(w, len(ids)) for w in t.encode().lower().split()]
-            doc.append(0)
-            self.docs.append(doc)
-        vocab = list(ids)
-        self.size = len(vocab)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in vocab], np.uint64)
-        flat = np.concatenate([np.array(d, np.int64) for d in self.docs])
-        before = np.r_[0, flat[:-1]]  # a text begins in the state of an end
-        weight = np.repeat(train.astype(np.int64), [len(d) for d in self.docs])
-        order = np.argsort(hashes)
-        self.words, self.word_place = hashes[order], np.empty(self.size, np.int64)
-        self.word_place[order] = np.arange(self.size)
-        self.word_counts = np.bincount(flat, weights=weight, minlength=self.size).astype(np.int64)[order]
-        pair, inverse = np.unique(before * self.size + flat, return_inverse=True)
-        counts = np.bincount(inverse, weights=weight, minlength=len(pair)).astype(np.int64)
-        key = (hashes[pair // self.size] * M1) ^ (hashes[pair % self.size] * M2 + M1)
-        key = (key ^ (key >> np.uint64(31))) * M1
-        order = np.argsort(key)
-        self.pairs, self.pair_keys, self.pair_counts = pair[order], key[order], counts[order]
+            words = t.encode().lower().split()
+            words.append(END)
+            flat.append(np.fromiter(map(number, words), np.int64, len(words)))
+            size.append(len(words))
+        self.size = np.array(size)
+        self.first = np.cumsum(self.size) - self.size
+        self.cur = np.concatenate(flat)
+        self.state = np.r_[0, self.cur[:-1]]  # the state a token is read in; a text begins in that of an end
+        weight = np.repeat(train.astype(np.int64), self.size)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in ids], np.uint64)
+        self.words, self.word_at = np.unique(hashes >> np.uint64(64 - bits), return_inverse=True)
+        self.word_counts = np.bincount(self.word_at[self.cur], weights=weight, minlength=len(self.words)).astype(np.int64)
+        key = (hashes * M1)[self.state] ^ (hashes * M2 + M1)[self.cur]
+        key = ((key ^ (key >> np.uint64(31))) * M1) >> np.uint64(64 - bits)
+        self.pairs, self.pair_at = np.unique(key, return_inverse=True)
+        self.pair_counts = np.bincount(self.pair_at, weights=weight, minlength=len(self.pairs)).astype(np.int64)
 
     def arrays(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        return [(1, self.words, self.word_counts), (2, self.pair_keys, self.pair_counts)]
+        return [(1, self.words, self.word_counts), (2, self.pairs, self.pair_counts)]
 
 
-def edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+def edges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where buckets, equal ranges of the hash, begin and end in sorted keys."""
-    at = [(i << 64) // buckets for i in range(buckets)]
+    at = [(i << bits) // buckets for i in range(buckets)]
     return np.r_[np.searchsorted(keys, np.array(at, np.uint64)), len(keys)]
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the gaps after it, each in as few bytes as the widest gap takes."""
+    gaps = np.diff(keys)
+    n = max(1, (int(gaps.max(initial=1)).bit_length() + 7) // 8)
+    return bytes([n]) + keys[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def unpacked_keys(x: bytes) -> np.ndarray:
+    n = x[0]
+    gaps = np.zeros(((len(x) - 9) // n, 8), np.uint8)
+    gaps[:, :n] = np.frombuffer(x, np.uint8, offset=9).reshape(-1, n)
+    return np.cumsum(np.r_[np.frombuffer(x[1:9], np.uint64), gaps.reshape(-1).view(np.uint64)], dtype=np.uint64)
+
+
 def packed(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype("<i8").tobytes(), 1)
+    kind = "u1" if x.max(initial=0) < 256 else "<i8"
+    return kind[-1].encode() + zlib.compress(x.astype(kind).tobytes(), 1)
 
 
 def unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), "<i8")
+    return np.frombuffer(zlib.decompress(x[1:]), "u1" if x[:1] == b"1" else "<i8").astype(np.int64)
+
 
+def traverse(b: Block, c1: np.ndarray, c2: np.ndarray, root: np.ndarray, prior: float, share: float) -> np.ndarray:
+    """log10 probability of each text, read once from left to right by the automaton of a block.
 
-def traverse(doc: list[int], arcs: dict[int, float], size: int, back: list[float], root: list[float]) -> float:
-    """log10 probability of a text's tokens; the state after a word is that word's, and the first is the end's."""
-    state, total, find = 0, 0.0, arcs.get
-    for w in doc:
-        arc = find(state * size + w)
-        if arc is None:  # the failure arc to the root, and on by a unigram
-            total += back[state] + root[w]
-        else:
-            total += arc
-        state = w
-    return total
+    c1: counts by token id, c2: of each token's bigram, root: weights of the unigram arcs. The state that a token
+    leads to is its word's. So the states are known from the tokens, and all steps are weighed at once: by the arc
+    where the state has one, else by its failure arc and the root's arc. Weights add up along each text.
+    """
+    k = prior + share * c1
+    arc = np.log10((c2 + k[b.state] * 10 ** root[b.cur]) / (c1[b.state] + k[b.state]))
+    fail = np.log10(k / (c1 + k))[b.state] + root[b.cur]
+    return np.add.reduceat(np.where(c2 > 0, arc, fail), b.first)
 
 
 def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_col: str = "text", train_col: str = "train", block_bytes: int = BLOCK_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
@@ -97,7 +115,7 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_
 
     Counts are those of all rows with train_col true, a repeated row counting again; null is false. A null text is
     empty: one token, the end. Without training rows every word has the same probability. Words and bigrams are
-    told apart by 64-bit hashes. An empty table gives an empty table.
+    told apart by hashes of up to 64 bits. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -107,22 +125,24 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_
     kinds = "".join(f"{n} {own.schema[n].dataType.simpleString()}, " for n in names)
     n_bytes = own.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
     n_blocks, n_buckets = max(1, round(n_bytes / block_bytes)), max(1, round(n_bytes / 6 / bucket_grams))
+    bits = min(64, int(n_bytes).bit_length() + 20)  # a chance below one in a million that a hash is another n-gram's too
     own = own.withColumn("block", F.pmod(F.xxhash64(*names, "text"), F.lit(n_blocks)).cast("int"))
 
+    def block_of(t: pa.Table) -> Block:
+        return Block(t.column("text").to_pylist(), t.column("train").to_numpy(zero_copy_only=False).astype(bool), bits)
+
     def grams(t: pa.Table) -> pa.Table:
-        b = Block(t.column("text").to_pylist(), t.column("train").to_numpy(zero_copy_only=False).astype(bool))
         out = {"bucket": [], "kind": [], "keys": [], "counts": []}
-        for kind, keys, counts in b.arrays():
-            at = edges(keys, n_buckets)
-            for i in range(n_buckets):
-                if at[i] < at[i + 1]:
-                    part = slice(at[i], at[i + 1])
-                    out["bucket"].append(i), out["kind"].append(kind), out["keys"].append(keys[part].tobytes()), out["counts"].append(packed(counts[part]))
+        for kind, keys, counts in block_of(t).arrays():
+            at = edges(keys, n_buckets, bits)
+            for i in np.flatnonzero(np.diff(at)):
+                part = slice(at[i], at[i + 1])
+                out["bucket"].append(i), out["kind"].append(kind), out["keys"].append(packed_keys(keys[part])), out["counts"].append(packed(counts[part]))
         block = np.full(len(out["kind"]), t.column("block")[0].as_py())
         return pa.table({"block": pa.array(block, pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
     def answers(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in t.column("keys").to_pylist()]
+        keys = [unpacked_keys(k) for k in t.column("keys").to_pylist()]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([unpacked(c) for c in t.column("counts").to_pylist()])).astype(np.int64)
         parts = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
@@ -143,26 +163,17 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_
     n_words, n_train = stats[0] or 0, stats[1] or 0
 
     def score(a: pa.Table, t: pa.Table) -> pa.Table:
-        b = Block(a.column("text").to_pylist(), a.column("train").to_numpy(zero_copy_only=False).astype(bool))
+        b = block_of(a)
         t = t.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         of = {k: [unpacked(c) for c, kind in zip(t.column("counts").to_pylist(), t.column("kind").to_pylist(), strict=True) if kind == k] for k in (1, 2)}
-        c1 = np.concatenate(of[1])[b.word_place]  # by token id
-        c2 = np.concatenate(of[2])
-        base = np.log10((c1 + ADD) / (n_train + ADD * (n_words + 1)))
-        seen = c2 > 0
-        pair, c2 = b.pairs[seen], c2[seen]
-        h, w = pair // b.size, pair % b.size
-        k = prior + share * c1
-        weight = np.log10((c2 + k[h] * 10 ** base[w]) / (c1[h] + k[h]))
-        arcs = dict(zip(pair.tolist(), weight.tolist(), strict=True))
-        back, root = np.log10(k / (c1 + k)).tolist(), base.tolist()
-        known = c1 > 0
-        docs = [np.array(d, np.int64) for d in b.docs]
+        c1 = np.concatenate(of[1])[b.word_at]  # by token id
+        root = np.log10((c1 + ADD) / (n_train + ADD * (n_words + 1)))
+        add = lambda x: np.add.reduceat(x, b.first)
         cols = {
-            "n_tokens": [len(d) for d in docs],
-            "n_known": [int(known[d].sum()) for d in docs],
-            "base_score": [float(base[d].sum()) for d in docs],
-            "score": [traverse(d, arcs, b.size, back, root) for d in b.docs],
+            "n_tokens": b.size,
+            "n_known": add((c1 > 0)[b.cur].astype(np.int64)),
+            "base_score": add(root[b.cur]),
+            "score": traverse(b, c1, np.concatenate(of[2])[b.pair_at], root, prior, share),
         }
         return pa.table({**{n: a.column(n) for n in names}, **cols})
 
