@@ -125,7 +125,7 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_
     kinds = "".join(f"{n} {own.schema[n].dataType.simpleString()}, " for n in names)
     n_bytes = own.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
     n_blocks, n_buckets = max(1, round(n_bytes / block_bytes)), max(1, round(n_bytes / 6 / bucket_grams))
-    bits = min(64, int(n_bytes).bit_length() + 20)  # a chance below one in a million that a hash is another n-gram's too
+    bits = min(64, int(n_bytes).bit_length() + 17)  # a chance below 1e-5 that a hash is another n-gram's too
     own = own.withColumn("block", F.pmod(F.xxhash64(*names, "text"), F.lit(n_blocks)).cast("int"))
 
     def block_of(t: pa.Table) -> Block:
