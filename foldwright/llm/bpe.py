@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import ship, small_batches, table
+from foldwright.llm.common import kept_by_worker, ship, small_batches, table
 
 ship(__name__)
 
@@ -29,7 +29,7 @@ LEAF, WINDOW = 4096, 32
 #: Texts of more characters are cut into rows of so many.
 ROW_CHARS = 1 << 17
 #: Half of the runs that a task remembers.
-MEMORY = 250_000
+MEMORY = 500_000
 SPACE = " \t\n\v\f\r"
 
 
@@ -148,18 +148,18 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", with_text: bool
         return [pa.array([s[k] for s in sums], t) for k, (_, t) in enumerate(outs)]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = TreeEncoder(path)
+        enc = kept_by_worker(TreeEncoder, path)
         for b in batches:
             ids = [enc.encode(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *results(enc, ids)], names=[*names, *[n for n, _ in outs]])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = TreeEncoder(path)
+        enc = kept_by_worker(TreeEncoder, path)
         for b in batches:
             yield b.append_column("ids", pa.array([enc.encode(t) for t in b.column("text").to_pylist()], pa.binary()))
 
     def joined(t: pa.Table) -> pa.Table:
-        enc = TreeEncoder(path)
+        enc = kept_by_worker(TreeEncoder, path)
         t = t.sort_by("part")
         _, ids = enc.merge(t.column("text").to_pylist(), t.column("ids").to_pylist())
         return pa.Table.from_arrays([t.column("_row").slice(0, 1), *[pa.chunked_array([x]) for x in results(enc, [ids])]], names=["_row", *[n for n, _ in outs]])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import sys
 import tempfile
-from collections.abc import Sequence
+import types
+from collections.abc import Callable, Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,15 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def kept_by_worker(make: Callable, *args):
+    """make(*args), once for each Python worker: what it remembers serves the worker's next tasks too."""
+    store = sys.modules.setdefault("_foldwright_kept", types.ModuleType("_foldwright_kept")).__dict__
+    key = f"{make.__name__}{args}"
+    if key not in store:
+        store[key] = make(*args)
+    return store[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

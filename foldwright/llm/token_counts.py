@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.llm.bpe import vocabulary
-from foldwright.llm.common import ship, small_batches, table
+from foldwright.llm.common import kept_by_worker, ship, small_batches, table
 
 ship(__name__)
 
@@ -183,7 +183,7 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
     kinds = "".join(f"{n} {own.schema[n].dataType.simpleString()}, " for n in names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = RankMerger(path)
+        merger = kept_by_worker(RankMerger, path)
         for b in batches:
             texts = b.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(merger.counts(texts), pa.int64())], names=[*names, "n_bytes", "n_tokens"])
