@@ -15,7 +15,7 @@ def moving_rate(events: DataFrame, by: list[str], ts: str = "ts", order: str = "
     """Completions a minute over the last 64 events of a run; null before 16 of them span 15 seconds."""
     w = Window.partitionBy(*by).orderBy(ts, order).rowsBetween(-(LAST - 1), 0)
     e = events.withColumn("_n", F.count("*").over(w)).withColumn("_t0", F.min(ts).over(w))
-    span = (F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_t0"))) / F.lit(1e6)
+    span = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / F.lit(1e6)
     rate = F.when((F.col("_n") >= MIN_EVENTS) & (span >= MIN_SECONDS), (F.col("_n") - 1) * 60 / span)
     return e.withColumn("rate", rate).drop("_n", "_t0")
 
