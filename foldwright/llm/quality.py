@@ -69,8 +69,8 @@ def _metrics() -> dict[str, Column]:
     return {"sym": share("_n_symbols", "_n_words"), "dup": share("_n_dup_lines", "_n_lines"), "rep": share("_n_repeat_words", "_n_words"), "len": share("_word_chars", "_n_words")}
 
 
-def thresholds(measures: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """A row for each language and source: the highest value of each metric that is still kept.
+def thresholds(measures: DataFrame, docs: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """A row for each language and source of docs: the highest value of each metric that is still kept.
 
     Documents that fail the base rules are no part of a sketch. Counting is partial before the shuffle, so a
     source with a third of all rows costs no more than any other.
@@ -95,7 +95,7 @@ def thresholds(measures: DataFrame, lang_col: str = "lang", source_col: str = "s
         )
 
     own, by_lang, all_docs = fence(cells, ["lang", "source"], "own"), fence(wider, ["lang"], "lang"), fence(widest, [], "all")
-    groups = measures.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source")).distinct()
+    groups = docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source")).distinct()
     out = eq_join(eq_join(groups, own, ["lang", "source"]), by_lang, ["lang"]).join(F.broadcast(all_docs), F.lit(True), "left")  # all_docs: one row
     # the strictest holds of a source's own fence and its language's, so that a source full of junk can't excuse itself
     top = lambda k: F.when(F.coalesce(F.col("lang_n"), F.lit(0)) < MIN_GROUP, F.col(f"all_{k}")).otherwise(
@@ -117,7 +117,7 @@ def apply_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         m, slim = measured(docs, text_col), measured(docs.select(text_col, lang_col, source_col), text_col).drop(text_col)
     else:
         slim = m = cut(measured(docs, text_col).drop(text_col))
-    tops = thresholds(slim, lang_col, source_col).withColumnRenamed("lang", lang_col).withColumnRenamed("source", source_col)
+    tops = thresholds(slim, docs, lang_col, source_col).withColumnRenamed("lang", lang_col).withColumnRenamed("source", source_col)
     out = sized_join(m, tops, [lang_col, source_col])
     ok = ~F.col("_base_failed")
     for k, v in _metrics().items():
