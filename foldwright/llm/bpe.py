@@ -6,13 +6,14 @@ left part end, and those of the right part begin, exactly with what the window's
 The window's tokens then replace both. Very long texts are cut into rows of their own first, so that many tasks
 encode one text; their rows meet again in a last tree of joins.
 
-The library is asked for each distinct run between white space once per task (a bounded memory of runs): its
+The library is asked for each distinct run between white space once per worker (a bounded memory of runs): its
 splitting never reaches across white space.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ WORD_BPE = "word_bpe_49k.json"
 LEAF, WINDOW = 4096, 32
 #: Texts of more characters are cut into rows of so many.
 ROW_CHARS = 1 << 17
-#: Half of the runs that a task remembers.
-MEMORY = 500_000
+#: Half of the runs that a worker remembers; it and its encoder stay below about 200 MB.
+MEMORY = 100_000
 SPACE = " \t\n\v\f\r"
 
 
@@ -45,6 +46,7 @@ class TreeEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
