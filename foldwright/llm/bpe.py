@@ -29,8 +29,8 @@ WORD_BPE = "word_bpe_49k.json"
 LEAF, WINDOW = 4096, 32
 #: Texts of more characters are cut into rows of so many.
 ROW_CHARS = 1 << 17
-#: Half of the runs that a worker remembers; it and its encoder stay below about 200 MB.
-MEMORY = 100_000
+#: Half of the runs that a worker remembers; it and its encoder stay below about 250 MB.
+MEMORY = 300_000
 SPACE = " \t\n\v\f\r"
 
 
