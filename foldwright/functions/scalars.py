@@ -21,6 +21,12 @@ def seeded(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def git_blob(content: Column) -> Column:
+    """The hash that git gives to a file of this content: sha1 of a header with its bytes, and the bytes."""
+    raw = content.cast("binary")
+    return F.sha1(F.concat(F.concat(F.lit("blob "), F.octet_length(raw).cast("string")).cast("binary"), F.unhex(F.lit("00")), raw))
+
+
 def compact_duration(seconds: Column) -> Column:
     """34s, 3m10s, 2h5m."""
     s = seconds.cast("long")

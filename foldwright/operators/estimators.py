@@ -126,6 +126,21 @@ def predictions(model: Any, df: DataFrame, id_col: str) -> DataFrame:
     return p.groupBy("id").agg(F.min(F.struct((-F.col("p")).alias("s"), "class")).alias("b")).select("id", F.col("b.class").alias("prediction"))
 
 
+def tuned_on_holdout(df: DataFrame, features: list[str], y: str, id_col: str, spec: Any, holdout: float, seed: int = 0) -> DataFrame:
+    """(class, offset): offsets tuned on a stratified slice that an auxiliary fit on the rest has not seen."""
+    from foldwright.operators import decide, folds, metrics
+
+    k = decide.holdout_folds(holdout)
+    if metrics.class_counts(df, y).where(F.col("n") < k).limit(1).count():
+        raise ValueError(f"a class has fewer than {k} rows, so no slice of {holdout} holds every class")
+    d = folds.assign_folds(df, id_col, k, seed, y, "_tune")
+    model, held = fit(folds.analysis(d, 0, "_tune"), features, y, spec, seed), folds.assessment(d, 0, "_tune")
+    classes = classes_of(model)
+    truth = held.select(F.col(id_col).alias("id"), F.col(y).cast("string").alias("y"))
+    best = decide.tune_offsets(probabilities(model, held, id_col), truth, classes).first()
+    return df.sparkSession.createDataFrame([(c, best[f"offset_{c}"]) for c in classes], "class string, offset double")
+
+
 def leaves(model: Any) -> int:
     return sum((t.numNodes + 1) // 2 for t in model.trees)
 

@@ -49,6 +49,10 @@ def unchanged(stored: DataFrame, current: DataFrame) -> bool:
     return drift(stored, current).isEmpty()
 
 
+def pool_size(blobs: DataFrame) -> DataFrame:
+    return blobs.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+
+
 def evicted(blobs: DataFrame, max_bytes: int, keep: list[str] | None = None) -> DataFrame:
     """(hash, size, mtime): oldest first, by hash among equals, until the rest fits; none if max_bytes is not above 0.
 

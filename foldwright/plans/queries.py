@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.functions import scalars
 from foldwright.operators import decide, encode, estimators, folds, identity, ledger, metrics, reduce, select, space
 from foldwright.plans import dag, nested
+from foldwright.sources import dataset
 from foldwright.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,10 +295,114 @@ def family_left_match(spark, d):
     return ledger.with_family(_ledger(spark, d).select("point_addr", "config_key"), _points(spark, d)).select("point_addr", "family")
 
 
+@query(LEDGER + "select point_addr, config_key from led where config_key = (select config_key from led order by point_addr limit 1)")
+def point_rows(spark, d):
+    led = _ledger(spark, d)
+    first = led.agg(F.min("point_addr")).first()[0]
+    return ledger.point_rows(led, first[:20]).select("point_addr", "config_key")
+
+
+@query(LEDGER + "select l.point_addr as run_id, l.config_key, r.score from led l left join (select * from led where fold <> 0) r using (point_addr)")
+def manifest_record_join(spark, d):
+    led = _ledger(spark, d).withColumnRenamed("point_addr", "run_id")
+    return ledger.with_records(led.select("run_id", "config_key"), led.where("fold <> 0").select("run_id", "score"))
+
+
+NAMED = ", s as (select point_addr as run_id, 0 as ord, 'prep' as step, unnest(['score', 'rows']) as m, unnest([score, cast(n as double)]) as value from led union all select point_addr, 1, 'train', unnest(['score', 'size']), unnest([score + 1, complexity]) from led) "
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    def step(name: str, i: int, **m: Column) -> Column:
+        return F.struct(F.lit(name).alias("step"), F.lit(i).alias("ord"), F.create_map(*[x for k, v in m.items() for x in (F.lit(k), v)]).alias("metrics"))
+
+    made = F.array(step("prep", 0, score=F.col("score"), rows=F.col("n").cast("double")), step("train", 1, score=F.col("score") + 1, size=F.col("complexity")))
+    return _ledger(spark, d).select(F.col("point_addr").alias("run_id"), made.alias("steps"))
+
+
+@query(LEDGER + NAMED + "select run_id, step || '.' || m as metric, round(value, 9) as value from s")
+def metric_namespacing(spark, d):
+    return rounded(ledger.namespaced(_steps(spark, d)), "value")
+
+
+@query(LEDGER + NAMED + "select run_id, m as metric, round(max_by(value, ord), 9) as value from s group by all")
+def metric_merge(spark, d):
+    return rounded(ledger.merged(_steps(spark, d)), "value")
+
+
+@query(LEDGER + STOP + ", a as (select family, ord from st where family not in (select family from x where stop)) select * from a union all select family, ord from st where not exists (select * from a)")
+def active_families(spark, d):
+    return select.active_families(_stats(spark, d), _stop(spark, d)).select("family", "ord")
+
+
+@query(LEDGER + "select family, round(avg(score), 9) as mean, round(coalesce(stddev_samp(score), 0) / sqrt(count(*)), 9) as se, count(*) as n from led where level = 'outer' and status <> 'failed' and fold < 2 group by family")
+def partial_finalise(spark, d):
+    return rounded(reduce.family_estimate(folds.prefix_sample(_ledger(spark, d), "in2"), "score"), "mean", "se")
+
+
+@query(LEDGER + "select distinct level = 'outer' and status <> 'failed' as outer_ok, point_addr from led where level <> 'outer' or status <> 'failed'")
+def level_filter(spark, d):
+    led = _ledger(spark, d)
+    return ledger.of_level(led, True).select(F.lit(True).alias("outer_ok"), "point_addr").unionByName(ledger.of_level(led, False).select(F.lit(False).alias("outer_ok"), "point_addr"))
+
+
+@query(LEDGER + "select distinct family from (select family, fold <> 4 as has from led) where not has")
+def complexity_guard(spark, d):
+    led = _ledger(spark, d).withColumn("complexity", F.when(F.col("fold") != 4, F.col("complexity")))
+    return reduce.without_complexity(reduce.mean_se(led, ["family", "ln"]))
+
+
+CELLS = "select unnest([cast(event_id as varchar), cast(value as varchar), event_type, props, case when event_id % 3 = 0 then 'true' else '' end]) as s from events"
+
+
+@query(
+    "select kind, count(*) as n from (select case when s is null or s = '' then null when s in ('true', 'false') then 'bool' when regexp_matches(s, '^\\s*[\\[{]') and json_valid(s) then 'json' when regexp_full_match(s, '[+-]?[0-9]+') then 'int' "
+    "when try_cast(s as double) is not null then 'float' else 'string' end as kind from (" + CELLS + ")) group by kind"
+)
+def cell_kinds(spark, d):
+    s = F.array(F.col("event_id").cast("string"), F.col("value").cast("string"), F.col("event_type"), F.col("props"), F.when(F.col("event_id") % 3 == 0, "true").otherwise(""))
+    return t(spark, d, "events").select(F.explode(s).alias("s")).select(ledger.cell_kind(F.col("s")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# ---- datasets ----
+@query("select l_quantity, l_extendedprice, l_discount from lineitem")
+def role_projection(spark, d):
+    roles = {"l_orderkey": "id", "l_quantity": "feature", "l_extendedprice": "feature", "l_discount": "feature", "l_returnflag": "target"}
+    li = t(spark, d, "lineitem")
+    return dataset.Dataset(dataset.Schema(roles, {}), li).x(li)
+
+
+@query("select o_orderkey as id, unnest(['F', 'O']) as class, unnest([cast(o_custkey % 10 as double), cast(o_custkey % 7 as double)]) as p from orders")
+def probabilities_unpivot(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("proba_F"), (F.col("o_custkey") % 7).alias("proba_O"))
+    return dataset.unpivot(o, "o_orderkey")
+
+
+@query("select event_id, case when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm' || (s % 60) || 's' else (s // 3600) || 'h' || (s % 3600 // 60) || 'm' end as took from (select event_id, event_id * 37 % 20000 as s from events)")
+def compact_duration(spark, d):
+    return t(spark, d, "events").select("event_id", scalars.compact_duration(F.col("event_id") * 37 % 20000).alias("took"))
+
+
+@query("select o_orderstatus, count(*) as n from orders group by 1")
+def class_counts(spark, d):
+    return metrics.class_counts(t(spark, d, "orders"), "o_orderstatus")
+
+
 # ---- spaces ----
 SPACE = {"train": {"model": {"$any": {"logreg": {"C": {"$any": [0.1, 1, 10]}}, "rf": {"max_depth": {"$any": [4, 8]}, "n_estimators": {"$any": [100, 500]}}}}}}
 
 
+@query("select cast(i as integer) as ord, case when i < 3 then 'train.model=logreg' else 'train.model=rf' end as family from range(7) r(i)")
+def family_of(spark, d):
+    return space.expanded(spark, SPACE).select("ord", "family")
+
+
+@query(LEDGER + "select distinct config_key, f::integer as fold, 'cv-k5-stratfalse-seed7#fold' || f as address from led, range(5) r(f)")
+def task_grid(spark, d):
+    of = spark.range(5).select(F.col("id").cast("int").alias("fold"))
+    grid = space.product(_ledger(spark, d).select("config_key").distinct(), of)
+    return grid.withColumn("address", scalars.fold_address(scalars.partition_ref(5, False, 7), F.col("fold")))
+
+
 @query("select 'train.model=logreg' as family, 3::bigint as n union all select 'train.model=rf', 4")
 def tagged_union_expand(spark, d):
     return space.expanded(spark, SPACE).groupBy("family").agg(F.count("*").alias("n"))
@@ -374,7 +479,38 @@ def blend_soft_vote(spark, d):
     return decide.blend([_probs(spark, d, 31), _probs(spark, d, 57)], [1.0, 3.0])
 
 
+@query(
+    PROB.format(a=31) + ", w as (select id, max(p) filter (class = 'F') as f, max(p) filter (class = 'O') as o, any_value(y) as y from p where y <> 'P' group by id), g as (select 0 as ord, 0.0::double as c union all select i + 1, -4.0::double + i * 0.2::double from range(41) r(i)), "
+    "h as (select ord, y, avg(case when y = case when ln(greatest(f, 1e-12)) >= ln(greatest(o, 1e-12)) + c then 'F' else 'O' end then 1.0::double else 0.0::double end) as r from w, g group by all), b as (select ord, round(avg(r), 12) as balanced_accuracy from h group by ord order by 2 desc, ord limit 1) "
+    'select 0.0::double as "offset_F", round(c, 9) as "offset_O", round(balanced_accuracy, 9) as balanced_accuracy from b join g using (ord)'
+)
+def offset_tune(spark, d):
+    y = t(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("y"))
+    return rounded(decide.tune_offsets(_probs(spark, d, 31), y, ["F", "O"]), "offset_O", "balanced_accuracy")
+
+
+@query(PROB.format(a=31) + "select id, class from p where id % 10 = 0")
+def blend_misaligned(spark, d):
+    p = _probs(spark, d, 31)
+    return decide.misaligned([p, p.where("id % 10 <> 0")])
+
+
+@query("select 'P' as class")
+def offsets_uncovered(spark, d):
+    return decide.uncovered(_probs(spark, d, 31), spark.createDataFrame([("F", 0.0), ("O", 0.3)], "class string, offset double"))
+
+
 # ---- identity and graphs ----
+@query("select coalesce(sum(o_custkey), 0)::bigint as bytes from orders")
+def pool_size(spark, d):
+    return identity.pool_size(t(spark, d, "orders").select(F.col("o_custkey").alias("size")))
+
+
+@query("select n_nationkey, sha1('blob ' || strlen(n_name) || chr(0) || n_name) as blob from nation")
+def git_blob_hash(spark, d):
+    return t(spark, d, "nation").select("n_nationkey", scalars.git_blob(F.col("n_name")).alias("blob"))
+
+
 EDGES = "with recursive e as (select cast(n_nationkey as integer) as child, cast(n_nationkey // 2 as integer) as parent from nation where n_nationkey > 0) "
 
 
@@ -405,6 +541,13 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select(F.lit("r").alias("repo"), F.col("p_partkey").cast("string").alias("path"), F.md5(F.col("p_partkey").cast("string").cast("binary")).alias("hash"), F.col("p_partkey").alias("k"))
 
 
+@query(FILES + "select count(*) filter (where k % 5 = 0) = 0 as unchanged from p")
+def closure_unchanged(spark, d):
+    f = _files(spark, d)
+    now = f.withColumn("hash", F.when(F.col("k") % 5 == 0, "new").otherwise(F.col("hash")))
+    return identity.drift(f, now).agg((F.count("*") == 0).alias("unchanged"))
+
+
 @query(FILES + "select repo, path, case when k % 3 = 0 then 'new' else h end as hash from p")
 def merge_read_set(spark, d):
     f = _files(spark, d)
@@ -473,6 +616,17 @@ def rf_complexity(spark, d):
     return spark.createDataFrame([(estimators.complexity(estimators.fit(_features(spark, d), ["f0", "f1"], "y", spec), spec),)], "mean_leaves double")
 
 
+@query()
+def gbt_total_leaves(spark, d):
+    spec = {"hist_gbm": {"max_iter": 3, "max_leaf_nodes": 8}}
+    return spark.createDataFrame([(estimators.complexity(estimators.fit(_features(spark, d), ["f0", "f1"], "y", spec), spec),)], "total_leaves double")
+
+
+@query()
+def offsets_on_holdout(spark, d):
+    return estimators.tuned_on_holdout(_features(spark, d), ["f0", "f1"], "y", "o_orderkey", {"logreg": {"max_iter": 20}}, 0.2)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Folds, encodings and fold scores of four shrinkages, and the choice among them by one standard error."""
     out = None

@@ -57,25 +57,33 @@ def within(root: str, path: str) -> str:
     return full
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     """By Spark's own file systems, so that a remote path works too."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def _text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())  # one small document
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small document, by Spark's own file systems."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def load_dataset(spark: SparkSession, path: str) -> Dataset:
     """schema.json, train.parquet or train.csv, and test likewise where there is one."""
-    d = json.loads(_text(spark, f"{path}/schema.json"))
+    d = json.loads(read_text(spark, f"{path}/schema.json"))
     schema = Schema(d["columns"], d.get("dtypes") or {})
 
     def read(name: str) -> DataFrame | None:
-        if _exists(spark, f"{path}/{name}.parquet"):
+        if exists(spark, f"{path}/{name}.parquet"):
             return spark.read.parquet(f"{path}/{name}.parquet")
-        if _exists(spark, f"{path}/{name}.csv"):
+        if exists(spark, f"{path}/{name}.csv"):
             df = spark.read.option("header", True).csv(f"{path}/{name}.csv")
             return df.select(*[F.col(c).cast(TYPES.get(schema.dtypes.get(c, "object"), "string")).alias(c) for c in df.columns])
         return None
@@ -90,11 +98,7 @@ def save_dataset(ds: Dataset, path: str) -> None:
     for name, df in (("train", ds.train), ("test", ds.test)):
         if df is not None:
             df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
-    spark = ds.train.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/schema.json")
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray(json.dumps({"columns": ds.schema.columns, "dtypes": ds.schema.dtypes}, indent=2).encode()))
-    out.close()
+    write_text(ds.train.sparkSession, f"{path}/schema.json", json.dumps({"columns": ds.schema.columns, "dtypes": ds.schema.dtypes}, indent=2))
 
 
 def resolve(spark: SparkSession, captured: dict[str, str], ref: str, root: str) -> Dataset:
