@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
+import threading
+import time
 import types
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of at most so many rows may be broadcast; its rows are counted first.
 BROADCAST_ROWS = 200_000
 SALTS = 16
+#: Seconds after which an idle Python worker lets go of what it remembers.
+REST = 20.0
 
 
 def ship(module: str) -> None:
@@ -27,12 +34,38 @@ def ship(module: str) -> None:
 
 
 def kept_by_worker(make: Callable, *args):
-    """make(*args), once for each Python worker: what it remembers serves the worker's next tasks too."""
+    """make(*args), once for each Python worker: what it remembers serves the worker's next tasks too.
+
+    After REST seconds without a call the worker lets it go, so that other stages have its memory. Call it for
+    each batch; who still holds the object keeps it.
+    """
     store = sys.modules.setdefault("_foldwright_kept", types.ModuleType("_foldwright_kept")).__dict__
+    lock = store.setdefault("_lock", threading.Lock())
     key = f"{make.__name__}{args}"
-    if key not in store:
-        store[key] = make(*args)
-    return store[key]
+    with lock:
+        kept = store.setdefault("_kept", {})
+        store["_used"] = time.monotonic()
+        if key not in kept:
+            kept[key] = make(*args)
+        if "_watch" not in store:
+            store["_watch"] = threading.Thread(target=_let_go, args=(store, REST), daemon=True)
+            store["_watch"].start()
+        return kept[key]
+
+
+def _let_go(store: dict, rest: float) -> None:
+    """Waits for rest, then empties the store and gives the memory back to the system."""
+    while True:
+        time.sleep(rest / 4)
+        with store["_lock"]:
+            if time.monotonic() - store["_used"] >= rest:
+                store["_kept"].clear()
+                del store["_watch"]
+                break
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

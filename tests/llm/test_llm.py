@@ -1,13 +1,14 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldwright.llm import bpe, lm, line_dedup, mixing, near_dup, pii, quality, token_counts, topk, toxicity
+from foldwright.llm import bpe, common, lm, line_dedup, mixing, near_dup, pii, quality, token_counts, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in "ba ce di fo gu ha je".split() for b in "ra se ti no lu".split()]
@@ -191,3 +192,21 @@ def test_pipeline_stages_keep_the_columns(spark, texts):
     enc = bpe.TreeEncoder(bpe.vocabulary(bpe.WORD_BPE))
     want = sorted((r.doc_id, hashlib.sha256(np.array(enc.lib.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for r in d.collect())
     assert sorted((r.doc_id, r.ids_sha256) for r in out.collect()) == want
+
+
+def test_an_idle_worker_lets_go(monkeypatch):
+    monkeypatch.setattr(common, "REST", 0.4)
+    made = []
+
+    def make(x):
+        made.append(x)
+        return [x]
+
+    assert common.kept_by_worker(make, 1) is common.kept_by_worker(make, 1) and made == [1]
+    for _ in range(4):
+        time.sleep(0.2)
+        common.kept_by_worker(make, 1)
+    assert made == [1]  # it has not rested
+    time.sleep(1.0)
+    common.kept_by_worker(make, 1)
+    assert made == [1, 1]
