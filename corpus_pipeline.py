@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without an id stay. Empty texts are no duplicates of one another.
     """
-    parts = near_dup.near_components(docs)
+    parts = near_dup.near_components(docs, percent=80)
     gone = parts.where("id is not null and id <> component").select(F.col("id").alias("doc_id")).distinct()
     again = common.cut(parts.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("doc_id")))
     out = common.sized_join(docs, gone, ["doc_id"], "left_anti")

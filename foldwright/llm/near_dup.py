@@ -2,7 +2,8 @@
 
 Two small collections of half keys, A and B, are made of a document's minhashes; the key of table (i, j) pairs
 A_i with B_j. So m * m tables need 2 * m half keys: about a square root of the minhash work. A pair at the
-threshold is missed in all tables with a probability of about 2 * (1 - s ** r) ** m, 2e-5 here.
+threshold is missed in all tables with a probability of about 2 * (1 - s ** r) ** m; m is as large as keeps that
+at MISS or less at any threshold (12 for 80 percent, 9 for 85).
 
 Equal sets are one class, whose smallest id stands for it, so copies never meet each other. In a bucket each
 member is first held against the bucket's smallest id alone. Only members that are still in another component
@@ -12,6 +13,7 @@ the similarity possible (prefix and position bounds, which lose no pair). All li
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,9 @@ from foldwright.llm.common import BROADCAST_ROWS, cut, ship, small_batches, tabl
 ship(__name__)
 
 SHINGLE = 5
-HALVES, ROWS = 9, 2
+#: Percent of similarity that links documents, where a contract names no other.
+PERCENT = 80
+ROWS, MISS = 2, 2e-5
 SEED = 2024
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -61,6 +65,12 @@ class Shingler:
         return np.unique(h ^ (h >> np.uint64(32)))
 
 
+def halves_for(percent: int, rows: int = ROWS) -> int:
+    """The fewest half keys with which a pair at the threshold is missed with a probability of at most MISS."""
+    low = 1 - (percent / 100) ** rows
+    return max(1, math.ceil(math.log(MISS / 2) / math.log(low))) if low > 0 else 1
+
+
 def half_keys(s: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
     """`rows` minhashes to a half key; a and b are the hash functions' factors and terms."""
     low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
@@ -154,14 +164,15 @@ def sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
     return l.join(r, cond).select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct()
 
 
-def near_components(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE, halves: int = HALVES, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, halves: int | None = None, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) for every row of docs; ids are whole numbers.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of word shingles. Texts without
     words, or null, have empty sets and no links. Rows of one id are one document, whatever their texts: what any
     of them is linked with, the id is. A null id is linked with nothing and its component is null. An empty table
-    gives an empty table.
+    gives an empty table. Without halves, halves_for(percent, rows) are made.
     """
+    halves = halves or halves_for(percent, rows)
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     all_docs = cut(sketches(own, shingle, halves, rows))
@@ -196,7 +207,7 @@ def near_components(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 

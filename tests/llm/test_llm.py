@@ -210,3 +210,16 @@ def test_an_idle_worker_lets_go(monkeypatch):
     time.sleep(1.0)
     common.kept_by_worker(make, 1)
     assert made == [1, 1]
+
+
+def test_near_duplicates_at_eighty_percent_go_from_the_pipeline(spark):
+    import corpus_pipeline as c
+
+    words = [f"w{i}" for i in range(14)]
+    near = docs_of(spark, [" ".join(words), " ".join([*words[:-1], "other"])])  # 10 shingles each, 9 of them common: 9 / 11
+    assert [r.doc_id for r in c.drop_near_duplicates(spark, near, "").collect()] == [0]
+    assert {r.component for r in near_dup.near_components(near).collect()} == {0}
+    assert {r.component for r in near_dup.near_components(near, percent=85).collect()} == {0, 1}
+    for percent in (70, 80, 85, 90):
+        assert 2 * (1 - (percent / 100) ** near_dup.ROWS) ** near_dup.halves_for(percent) <= 2e-5
+    assert near_dup.halves_for(85) == 9 and near_dup.halves_for(80) == 12
