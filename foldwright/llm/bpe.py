@@ -74,7 +74,7 @@ class TreeEncoder:
         return b"".join([known[r] for r in runs])
 
     def leaf(self, text: str) -> bytes:
-        return self._runs(text.split(None) if text.isascii() else _split(text))
+        return self._runs(_split(text))
 
     def join(self, text: str, left: bytes, mid: int, right: bytes) -> bytes:
         """left and right are the ids of text[:mid] and text[mid:]."""

@@ -223,3 +223,9 @@ def test_near_duplicates_at_eighty_percent_go_from_the_pipeline(spark):
     for percent in (70, 80, 85, 90):
         assert 2 * (1 - (percent / 100) ** near_dup.ROWS) ** near_dup.halves_for(percent) <= 2e-5
     assert near_dup.halves_for(85) == 9 and near_dup.halves_for(80) == 12
+
+
+def test_bpe_keeps_control_characters():
+    enc = bpe.TreeEncoder(bpe.vocabulary(bpe.WORD_BPE))
+    for t in ["a\x1cb", "a\x1cb é", "\x1d", "x \x1e\x1f y\x1c", "a\tb\x0bc\x0cd\re\nf"]:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.lib.encode(t, add_special_tokens=False).ids, repr(t)
