@@ -4,8 +4,9 @@ The fixed forms (email, ip, card, phone) give spans in every text and are the se
 pattern. Candidates are strings of similar make that no fixed form covers. On the graph of patterns and instances
 a pattern's score is the share of its occurrences in the whole corpus that an instance follows, each instance
 counted with its confidence; an instance's confidence is that its patterns are not all wrong. Scores and
-confidences feed one another for ROUNDS rounds: what a pattern discovers is an instance wherever else it stands,
-and so raises the patterns there. Only patterns with many different instances and a high score discover anything.
+confidences feed one another until nothing changes: what a pattern discovers is an instance wherever else it stands,
+and so raises the patterns there, seeded or not. Only patterns with many different instances and a high score
+discover anything. Confidences only rise, in whole steps of 1 / STEPS, so the rounds end.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ CANDIDATES = {
     "address": (rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++(?:\x20?(?:@|\[at\]|\(at\))\x20?)[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)*+", ("email",)),
 }
 DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (7, 15)}
-ROUNDS, MIN_SUPPORT, MIN_SCORE, MIN_CONFIDENCE = 3, 5, 0.5, 0.5
+MIN_SUPPORT, MIN_SCORE, MIN_CONFIDENCE, STEPS = 5, 0.5, 0.5, 10_000
 #: A pattern's word is looked for in so many characters before an instance.
 REACH = 64
 
@@ -92,8 +93,9 @@ def _word_before(text: Column, start: Column) -> Column:
     return ascii_lower(F.regexp_extract(before, rf"([^{WS}]+)[{WS}]*$", 1))
 
 
-def _norm(s: Column) -> Column:
-    return F.when(s.contains("@") | s.contains("at"), ascii_lower(s)).otherwise(_digits(s))
+def _norm(s: Column, kind: Column) -> Column:
+    """An ip's dots tell it from others of the same digits."""
+    return F.when(s.contains("@") | s.contains("at"), ascii_lower(s)).when(kind == "ip", F.regexp_replace(s, "[^0-9.]", "")).otherwise(_digits(s))
 
 
 def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -106,10 +108,10 @@ def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
     told = lambda c, k: F.transform(c, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), _word_before(text, x["start"]).alias("w")))
     df = df.withColumn("_base", F.concat(*[told(F.col(f"_{k}"), k) for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
     for c, (p, _) in CANDIDATES.items():
-        hint = text.rlike(r"(?:[0-9][\x20().-]{0,2}){7}") if c == "number" else text.rlike(r"@|\[at\]|\(at\)")
+        hint = text.rlike(r"(?:[0-9][\x20().-]{0,2}){7}|[0-9][\x20()-]?\.[\x20()-]?[0-9]") if c == "number" else text.rlike(r"@|\[at\]|\(at\)")
         df = df.withColumn(f"_{c}", F.when(hint, _located(text, p)).otherwise(F.array().cast(NONE)))
     fresh = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    fits = lambda c, x: F.length(_digits(x["s"])).between(7, 19) if c == "number" else F.lit(True)
+    fits = lambda c, x: F.size(_kinds_of(F.lit(c), x["s"])) > 0
     both = lambda c: lambda x: fits(c, x) & fresh(x)
     return df.withColumn("_rest", F.concat(*[told(F.filter(f"_{c}", both(c)), c) for c in CANDIDATES])).drop(*[f"_{c}" for c in CANDIDATES])
 
@@ -122,32 +124,32 @@ def _kinds_of(made: Column, s: Column) -> Column:
 
 def discovered(spans: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame | None:
     """(_key, kind, start, end) of candidates that high-confidence patterns discover; None if there can be none."""
-    seeds = spans.select(F.explode("_base").alias("x")).where("x.w <> ''").select("x.kind", "x.w", _norm(F.col("x.s")).alias("s"), F.lit(True).alias("seed"))
-    rest = spans.select("_key", F.explode("_rest").alias("x")).where("x.w <> ''")
-    rest = cut(rest.select("_key", "x.start", "x.end", "x.w", _norm(F.col("x.s")).alias("s"), F.explode(_kinds_of(F.col("x.kind"), F.col("x.s"))).alias("kind")))
+    seeds = spans.select(F.explode("_base").alias("x")).select("x.kind", "x.w", _norm(F.col("x.s"), F.col("x.kind")).alias("s"))
+    rest = spans.select("_key", F.explode("_rest").alias("x")).select("_key", "x.start", "x.end", "x.w", "x.s", F.explode(_kinds_of(F.col("x.kind"), F.col("x.s"))).alias("kind"))
+    rest = cut(rest.withColumn("s", _norm(F.col("s"), F.col("kind"))))
     if rest.isEmpty():
         return None
-    around = rest.select("w").distinct()
-    edges = seeds.join(around, "w", "left_semi").unionByName(rest.select("kind", "w", "s", F.lit(False).alias("seed")))
-    edges = cut(edges.groupBy("kind", "w", "s").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    around = rest.where("w <> ''").select("w").distinct()
+    edges = seeds.join(around, "w", "left_semi").select("kind", "w", "s").unionByName(rest.where("w <> ''").select("kind", "w", "s"))
+    edges = cut(edges.groupBy("kind", "w", "s").agg(F.count("*").alias("n")))
+    sure = seeds.select("kind", "s").distinct().withColumn("c", F.lit(1.0))
+    conf = cut(edges.select("kind", "s").unionByName(rest.select("kind", "s")).distinct().join(sure, ["kind", "s"], "left").fillna(0.0, ["c"]))
     # a pattern's occurrences in the corpus: every word of every text is looked at, few of them are patterns
-    may = edges.groupBy("kind", "w").agg(F.count("*").alias("k"), F.max("seed").alias("seeded")).where(f"k >= {MIN_SUPPORT} and seeded").select("w").distinct()
-    may = cut(may)
-    if may.isEmpty():
-        return None
-    words = docs.select(F.explode(words_of(ascii_lower(F.col(text_col)))).alias("w"))
-    total = cut(sized_join(words, may, ["w"], "left_semi").groupBy("w").agg(F.count("*").alias("total")))
-    edges = cut(edges.join(total, "w"))
-    conf = edges.groupBy("kind", "s").agg(F.max(F.col("seed").cast("double")).alias("c"))
-    for _ in range(ROUNDS):
+    may = cut(edges.groupBy("kind", "w").agg(F.count("*").alias("k")).where(f"k >= {MIN_SUPPORT}").select("w").distinct())
+    moved = not may.isEmpty()
+    if moved:
+        words = docs.select(F.explode(words_of(ascii_lower(F.col(text_col)))).alias("w"))
+        total = cut(sized_join(words, may, ["w"], "left_semi").groupBy("w").agg(F.count("*").alias("total")))
+        edges = cut(edges.join(total, "w"))
+    while moved:
         e = edges.join(conf, ["kind", "s"])
-        sure = F.col("c") >= MIN_CONFIDENCE
-        score = e.groupBy("kind", "w", "total").agg(F.sum(F.col("c") * F.col("n")).alias("hits"), F.count(F.when(sure, 1)).alias("support"))
+        score = e.groupBy("kind", "w", "total").agg(F.sum(F.col("c") * F.col("n")).alias("hits"), F.count(F.when(F.col("c") >= MIN_CONFIDENCE, 1)).alias("support"))
         score = score.withColumn("p", F.least(F.col("hits") / F.col("total"), F.lit(1.0))).where(f"support >= {MIN_SUPPORT} and p >= {MIN_SCORE}")
-        wrong = e.join(score.select("kind", "w", "p"), ["kind", "w"], "left").groupBy("kind", "s").agg(
-            F.max(F.col("seed").cast("double")).alias("seed"), F.min(F.coalesce(1 - F.col("p"), F.lit(1.0))).alias("least"), F.exp(F.sum(F.log(F.greatest(F.coalesce(1 - F.col("p"), F.lit(1.0)), F.lit(1e-9))))).alias("all")
-        )
-        conf = cut(wrong.select("kind", "s", F.greatest("seed", 1 - F.least("least", "all")).alias("c")))
+        wrong = e.join(score.select("kind", "w", "p"), ["kind", "w"]).groupBy("kind", "s").agg(F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9))))).alias("wrong"))
+        told = wrong.select("kind", "s", (F.floor((1 - F.col("wrong")) * STEPS + 1e-6) / STEPS).alias("told"))
+        new = cut(conf.join(told, ["kind", "s"], "left").select("kind", "s", F.col("c").alias("old"), F.greatest("c", "told").alias("c")))
+        moved = not new.where("c > old").isEmpty()
+        conf = new.select("kind", "s", "c")
     best = conf.where(F.col("c") >= MIN_CONFIDENCE).groupBy("s").agg(F.max(F.struct("c", "kind")).alias("b")).select("s", F.col("b.kind").alias("kind"))
     return cut(rest.join(best, ["s", "kind"], "left_semi").select("_key", "kind", "start", "end").distinct())
 

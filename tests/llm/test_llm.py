@@ -229,3 +229,15 @@ def test_bpe_keeps_control_characters():
     enc = bpe.TreeEncoder(bpe.vocabulary(bpe.WORD_BPE))
     for t in ["a\x1cb", "a\x1cb é", "\x1d", "x \x1e\x1f y\x1c", "a\tb\x0bc\x0cd\re\nf"]:
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == enc.lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_patterns_come_from_discovered_instances(spark):
+    t = [f"so phone: +1 (9{i:02d}) 555-{1000 + i} it is" for i in range(20)]
+    number = lambda g, k: f"(212) 555-{3000 + 10 * g + k}"
+    t += [f"xx phone: {number(0, k)} yy" for k in range(5)]
+    for g, w in enumerate("dial ring call page buzz".split()):  # no fixed form follows these words
+        t += [f"{w} {number(g, k)} yy" for k in range(5) for _ in range(3)] + [f"{w} {number(g + 1, k)} yy" for k in range(5)]
+    t += [f"host 10.0.0.{i} up" for i in range(20)] + ["host 9. 8.7.6 up", "212 555 3000 begins a text"]
+    got = [[tuple(x)[:3] for x in r._spans] for r in pii.personal_data(docs_of(spark, t)).orderBy("doc_id").collect()]
+    assert all(len(x) == 1 for x in got), [(a, b) for a, b in zip(t, got) if len(b) != 1]
+    assert got[-2:] == [[("ip", 5, 13)], [("phone", 0, 12)]]
