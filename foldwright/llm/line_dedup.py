@@ -54,7 +54,8 @@ def hashed_lines(own: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `_n_lines`, `_n_dropped` and `_kept`: the text without lines whose key is in >= min_docs documents.
 
-    A row is a document, so a repeated row counts again. Null or empty texts have one empty line, whose key is
+    Rows of one id are one document, which counts once for a line; rows without an id count for none, as in
+    OP1_SQL, and lose lines like any other. Null or empty texts have one empty line, whose key is
     empty and never dropped. Null ids are ids of their own. Lines longer than any other are hashed whole. Other
     columns of docs are kept as they are, if none begins with an underscore; an empty table gives an empty table.
     """
@@ -62,7 +63,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     small_batches(spark)
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_sum"), F.coalesce(text_col, F.lit("")).alias("text"))
     at = hashed_lines(own)
-    common = cut(at.where("first").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
+    common = cut(at.where("first").groupBy("a", "b", "_id").agg(F.lit(1)).groupBy("a", "b").agg(F.count("_id").alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
     at = at.select("_id", "_sum", "pos", "a", "b")
     hits = sized_join(at, common, ["a", "b"], "left_semi")
     lost = hits.groupBy("_id", "_sum").agg(F.sort_array(F.collect_set("pos")).alias("_lost"))

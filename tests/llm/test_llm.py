@@ -241,3 +241,9 @@ def test_patterns_come_from_discovered_instances(spark):
     got = [[tuple(x)[:3] for x in r._spans] for r in pii.personal_data(docs_of(spark, t)).orderBy("doc_id").collect()]
     assert all(len(x) == 1 for x in got), [(a, b) for a, b in zip(t, got) if len(b) != 1]
     assert got[-2:] == [[("ip", 5, 13)], [("phone", 0, 12)]]
+
+
+def test_a_repeated_id_counts_once_for_a_line(spark):
+    rows = [(1, "one id\nx", "en", "s", 0)] * 12 + [(100 + i, f"many ids\ny{i}", "en", "s", 0) for i in range(10)] + [(None, "no id", "en", "s", 0)] * 12
+    got = {(r.doc_id, r._kept) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, "one id\nx"), (None, "no id")} | {(100 + i, f"y{i}") for i in range(10)}
