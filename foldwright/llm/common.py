@@ -9,6 +9,7 @@ import tempfile
 import threading
 import time
 import types
+import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -21,8 +22,8 @@ WS = r"\x20\x09-\x0D"
 SPACE = " \t\n\v\f\r"
 WORD = rf"[^{WS}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A side of at most so many rows may be broadcast; its rows are counted first.
-BROADCAST_ROWS = 200_000
+#: A side of at most so many rows and bytes may be broadcast; both are measured first.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 SALTS = 16
 #: Seconds after which an idle Python worker lets go of what it remembers.
 REST = 20.0
@@ -81,22 +82,62 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there; lineage ends here.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests on one machine) a
-    temporary folder is set once.
+    It is ``spark.checkpoint.dir``; where that is unset and everything runs in one process (tests), a temporary
+    folder is set once. On a cluster without the setting this is an error: executors share no local folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset; on a cluster it must name a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads it from there; lineage ends here."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As cut(), but as Parquet: for whole texts, as what reads it reads no columns but those it needs."""
+    path = f"{checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Aside:
+    """A caller's columns under names of no meaning (c0, c1, ...), so that no operator's names clash with them."""
+
+    def __init__(self, docs: DataFrame):
+        self.columns = docs.columns
+        self.names = [f"c{i}" for i in range(len(self.columns))]
+        self.df = docs.toDF(*self.names)
+
+    def of(self, column: str) -> str:
+        """The name that a column of the caller goes by."""
+        return self.names[self.columns.index(column)]
+
+    def back(self, df: DataFrame, made: dict[str, Column | str], without: Sequence[str] = ()) -> DataFrame:
+        """The caller's columns under their own names, then those made, which replace a caller's of the same name."""
+        gone = {m.lower() for m in made} | {w.lower() for w in without}
+        rest = [F.col(n).alias(c) for n, c in zip(self.names, self.columns, strict=True) if c.lower() not in gone]
+        return df.select(*rest, *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in made.items()])
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds an Arrow batch: whole texts differ in length by orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bounds an Arrow batch: whole texts differ in length by orders of magnitude.
+
+    The settings are read when a plan runs, so they stay set in the session; smaller ones are left as they are.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def settled(df: DataFrame, made: Sequence[str]) -> DataFrame:
@@ -116,14 +157,25 @@ def eq_join(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "left
     return df.join(other, cond, how).drop(*[f"_on{i}" for i in range(len(on))])
 
 
+def may_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether df, which is materialised, has at most so many rows and bytes."""
+    wide = [c for c, t in df.dtypes if t in ("string", "binary")]
+    other = 16 * (len(df.columns) - len(wide))
+    size = F.lit(other).cast("long")
+    for c in wide:
+        size = size + F.coalesce(F.octet_length(F.col(c)), F.lit(0)) + 16
+    n, b = df.agg(F.count("*"), F.sum(size)).first()
+    return n <= rows and (b or 0) <= most
+
+
 def sized_join(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins with a side that is usually small: broadcast if at most `limit` rows, else a salted shuffle join.
+    """Joins with a side that is usually small: broadcast if at most `limit` rows and BROADCAST_BYTES, else salted.
 
-    `small` is materialised once and counted. Beyond the limit it is repeated SALTS times and df's rows are
+    `small` is materialised once and measured. Beyond the limits it is repeated SALTS times and df's rows are
     spread over the salts, so that one hot key is split. Null keys match null keys.
     """
     small = cut(small)
-    if small.count() <= limit:
+    if may_broadcast(small, limit):
         other, salts = F.broadcast(small), []
     else:
         df = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))

@@ -25,8 +25,10 @@ LONG = np.iinfo(np.int64)
 def whole_components(vector: Column, scale: int = 64) -> Column:
     """floor(scale * x) of each component x as double; null where any component is null or not finite."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    # floor() of a double gives a long and would cut off what is beyond; x - pmod(x, 1) stays a double
-    return F.when(fine, F.transform(vector, lambda x: (x.cast("double") * scale) - F.pmod(x.cast("double") * scale, F.lit(1.0))))
+    y = lambda x: x.cast("double") * scale
+    # floor() of a double gives a long; from 2 ** 52 on a double is whole already
+    whole = lambda x: F.when(F.abs(y(x)) < 2.0**52, F.floor(y(x)).cast("double")).otherwise(y(x))
+    return F.when(fine, F.transform(vector, whole))
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -42,10 +44,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_tile: in
     """(id, v) each, v an array of whole doubles: query_id, rank, vec_id, score of each query's k best candidates.
 
     A candidate with the query's id is its own and left out. Ties go to the smaller id. Null ids or vectors take
-    no part; of rows with one id the smallest vector counts, so repeated rows count once. Only vectors of equal
-    length meet. Scores beyond a long are cut to its ends. Empty tables give no rows.
+    no part. Repeated rows count once; of rows with one id and different vectors each is a candidate, and the k best
+    of a query are those of all its vectors. Only vectors of equal length meet. Scores beyond a long are cut to its
+    ends. Empty tables give no rows; other columns take no part.
     """
-    one = lambda df: df.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
+    one = lambda df: df.where("id is not null and v is not null").select("id", "v").distinct()
     q, c = cut(one(queries)), cut(one(candidates))
     n_q, n_c = max(1, math.ceil(q.count() / query_tile)), max(1, math.ceil(c.count() / tile))
 
@@ -57,7 +60,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_tile: in
         return pa.table({"dim": pa.array([dim], pa.int32()), "tile": pa.array([t.column("tile")[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "m": pa.array([m.astype(np.float64).tobytes()], pa.binary())})
 
     def tiles(df: DataFrame, n: int) -> DataFrame:
-        df = df.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("tile"))
+        df = df.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int").alias("tile"))
         return df.groupBy("dim", "tile").applyInArrow(pack, "dim int, tile int, ids binary, m binary")
 
     # both sides are repeated by tile, never by row; a pair of tiles is a task's work
@@ -75,10 +78,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_tile: in
             for at in range(0, len(qi), 128):
                 s = _products(qm[at : at + 128], cm)
                 for i, row in enumerate(s):
-                    own = np.searchsorted(ci, qi[at + i])
-                    keep = np.ones(len(ci), bool)
-                    if own < len(ci) and ci[own] == qi[at + i]:
-                        keep[own] = False
+                    keep = ci != qi[at + i]
                     if keep.sum() > k:  # all that reach the k-th score; ties are cut by id
                         keep &= row >= np.partition(row[keep], -k)[-k]
                     at_c = np.flatnonzero(keep)
@@ -99,6 +99,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_tile: in
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 best of every row of embeddings for each id divisible by 20."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), whole_components(F.col("embedding")).alias("v"))
     return top_k(v.where(F.col("id") % 20 == 0), v, 20)
 
