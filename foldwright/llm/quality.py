@@ -1,131 +1,153 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Every metric is a whole number of thousandths, so a quantile sketch is a histogram of those numbers: exact to a
-thousandth, bounded in size for each group, and merged by adding counts (documents to groups of language and
-source, groups to languages, languages to the corpus). Thresholds are outer fences over a sketch's quartiles;
-a group with few documents takes its language's sketch, and a language with few the corpus's.
+The rates of a document (symbols, repeated lines, words in repeated windows and characters, a thousand units of
+their base) go into KLL quantile sketches, one for each metric, language and source. Sketches merge upwards:
+sources to languages, languages to the corpus; each is bounded in size whatever it has seen. A rate is an outlier
+beyond the fences that its group's sketch gives and the noise that a document of its length has anyway:
+
+    upper fence = q75 + FENCE * max(q75 - q25, q90 - q50), lower fence (length only) the same way from q25 and q10
+    noise       = NOISE standard deviations of a count of events with the fence's rate, and one more event;
+                  an event is one symbol, line or character, but six words of repeated windows: two windows of three
+
+The second width stands in where quartiles coincide. A group of few documents takes its language's fences, a
+language of few the corpus's; else the stricter of a source's own and its language's holds, so that a source full
+of junk can't excuse itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import WS, cut, eq_join, settled, sized_join, table, words_of
+from foldwright.llm.common import WS, Aside, cut, eq_join, sized_join, table, words_of, written
 
-#: A sketch needs so many documents; else the next wider one serves.
+#: A group's own fences need so many documents; else the next wider sketch serves.
 MIN_GROUP = 20
-#: The fence lies so many interquartile ranges above the third quartile, and no lower than that plus the slack.
-FENCE = 3.0
-#: Thousandths that a metric may lie above the third quartile in any case.
-SLACK = {"sym": 150, "dup": 400, "rep": 400, "len": 2500}
-METRICS = tuple(SLACK)
+#: Widths that a fence lies beyond the quartile, and standard deviations that a document's count may lie beyond that.
+FENCE, NOISE = 3, 3
+#: Size of a sketch: exact up to about so many documents, a rank error of about a thousandth beyond (some 50 KB).
+SKETCH = 4096
+#: Metrics: the count, the base that it is a rate of, and how many of the count one event brings.
+METRICS = {"sym": ("_n_symbols", "_n_words", 1), "dup": ("_n_dup_lines", "_n_lines", 1), "rep": ("_n_repeat_words", "_n_words", 6), "len": ("_word_chars", "_n_words", 1)}
+MEASURES = ("_n_words", "_word_chars", "_n_symbols", "_n_lines", "_n_dup_lines", "_n_repeat_words")
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words in 3-word windows found twice or more, by sorting hashes of windows that carry their positions."""
+def _twice(words: Column) -> Column:
+    """Places of 3-word windows whose hash another window of the text has: a hash in the high bits, the place in the low ones."""
     n = F.size(words)
     bits = F.ceil(F.log2(n + F.lit(1))).cast("int")
-    # high bits: hash, low bits: position; the fewer words, the more bits of hash
-    keyed = F.transform(
-        F.slice(words, 1, F.greatest(n - 2, F.lit(0))),
-        lambda w, i: F.call_function("shiftleft", F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), bits).bitwiseOR(i.cast("long")),
+    keyed = F.sort_array(
+        F.transform(
+            F.slice(words, 1, F.greatest(n - 2, F.lit(0))),
+            lambda w, i: F.call_function("shiftleft", F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), bits).bitwiseOR(i.cast("long")),
+        )
     )
-    return F.sort_array(keyed), bits
+    return F.struct(keyed.alias("k"), bits.alias("b"))
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, all over the whole text."""
+    """docs with the MEASURES and _base_failed, all over the whole text.
+
+    Windows that share a hash are compared as words, so no count rests on a hash.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_w", words_of(F.col(text_col)))
-    keyed, bits = _repeat_words(F.col("_w"))
-    df = df.withColumn("_k", keyed).withColumn("_b", bits)
-    hash_at = lambda i: F.call_function("shiftrightunsigned", F.get("_k", i), F.col("_b"))
+    df = docs.withColumn("_w", words_of(F.col(text_col))).withColumn("_k", _twice(F.col("_w")))
+    hash_at = lambda i: F.call_function("shiftrightunsigned", F.get("_k.k", i), F.col("_k.b"))
     same = lambda i, j: F.coalesce(hash_at(i) == hash_at(j), F.lit(False))
-    twice = F.filter("_k", lambda x, i: ((i > 0) & same(i, i - 1)) | same(i, i + 1))
-    at = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b")) - 1)))
-    df = df.withColumn("_p", at).drop("_k", "_b")
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_k.b")) - 1
+    maybe = F.transform(F.filter("_k.k", lambda x, i: ((i > 0) & same(i, i - 1)) | same(i, i + 1)), lambda x: x.bitwiseAND(low).cast("int"))
+    # words hold no blank, so joined windows are equal only if their words are
+    df = df.withColumn("_c", F.sort_array(F.transform(maybe, lambda p: F.struct(F.concat_ws(" ", F.get("_w", p), F.get("_w", p + 1), F.get("_w", p + 2)).alias("g"), p.alias("p")))))
+    equal = lambda i, j: F.coalesce(F.get("_c", i)["g"] == F.get("_c", j)["g"], F.lit(False))
+    real = F.filter("_c", lambda x, i: ((i > 0) & equal(i, i - 1)) | equal(i, i + 1))
+    df = df.withColumn("_p", F.sort_array(F.transform(real, lambda x: x["p"].cast("long"))))
     covered = F.aggregate(
         F.transform("_p", lambda p, i: F.when(i == 0, F.lit(3).cast("long")).otherwise(F.least(F.lit(3).cast("long"), p - F.get("_p", i - 1)))), F.lit(0).cast("long"), lambda a, x: a + x
     )
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(rf"[^{WS}]"))
-    df = (
-        df.withColumn("_n_words", F.size("_w").cast("long"))
-        .withColumn("_word_chars", F.char_length(F.array_join("_w", "")).cast("long"))
-        .withColumn("_n_symbols", F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"))
-        .withColumn("_l", lines)
-        .withColumn("_n_lines", F.size("_l").cast("long"))
-        .withColumn("_n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-        .withColumn("_n_repeat_words", covered)
-        .drop("_w", "_p", "_l")
-    )
-    df = settled(df, ["_n_words", "_word_chars", "_n_symbols", "_n_lines", "_n_dup_lines", "_n_repeat_words"])
+    df = df.withColumn("_l", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(rf"[^{WS}]")))
+    made = {
+        "_n_words": F.size("_w"),
+        "_word_chars": F.char_length(F.array_join("_w", "")),
+        "_n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")),
+        "_n_lines": F.size("_l"),
+        "_n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
+        "_n_repeat_words": covered,
+    }
+    df = df.withColumns({k: v.cast("long") for k, v in made.items()}).drop("_w", "_k", "_c", "_p", "_l")
     return df.withColumn("_base_failed", (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words")))
 
 
-def _metrics() -> dict[str, Column]:
-    """Whole thousandths; the hundredths of a character are enough for the mean word length."""
-    share = lambda a, b: F.when(F.col(b) > 0, F.expr(f"1000 * {a} div {b}")).otherwise(F.lit(0)).cast("long")
-    return {"sym": share("_n_symbols", "_n_words"), "dup": share("_n_dup_lines", "_n_lines"), "rep": share("_n_repeat_words", "_n_words"), "len": share("_word_chars", "_n_words")}
+def _rate(metric: str) -> Column:
+    """A whole number of thousandths."""
+    count, base, _ = METRICS[metric]
+    return F.when(F.col(base) > 0, F.expr(f"1000 * {count} div {base}")).otherwise(F.lit(0)).cast("long")
 
 
-def thresholds(measures: DataFrame, docs: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """A row for each language and source of docs: the highest value of each metric that is still kept.
+def thresholds(m: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """lang, source, _top_<metric> and _low_len in thousandths for each language and source of m, a table with MEASURES.
 
-    Documents that fail the base rules are no part of a sketch. Counting is partial before the shuffle, so a
-    source with a third of all rows costs no more than any other.
+    Documents that fail the base rules are no part of a sketch. Sketches are partial before a shuffle, so a source
+    with a third of all rows costs no more than any other; no step holds more than a row for each task and group.
     """
-    m = measures.where(~F.col("_base_failed")).select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(k), v) for k, v in _metrics().items()]))).alias("metric", "v"))
-    cells = m.groupBy("lang", "source", "metric", "v").agg(F.count("*").alias("n"))
-    wider = cells.select("lang", "metric", "v", "n").groupBy("lang", "metric", "v").agg(F.sum("n").alias("n"))
-    widest = wider.groupBy("metric", "v").agg(F.sum("n").alias("n"))
-
-    def fence(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
-        w = Window.partitionBy(*keys, "metric").orderBy("v")
-        all_of = Window.partitionBy(*keys, "metric")
-        q = sketch.withColumn("below", F.sum("n").over(w)).withColumn("total", F.sum("n").over(all_of))
-        q = q.groupBy(*keys, "metric").agg(
-            F.max("total").alias("total"),
-            F.min(F.when(4 * F.col("below") >= F.col("total"), F.col("v"))).alias("q1"),
-            F.min(F.when(4 * F.col("below") >= 3 * F.col("total"), F.col("v"))).alias("q3"),
-        )
-        slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])[F.col("metric")]
-        return q.select(*keys, "metric", "total", (F.col("q3") + F.greatest(F.lit(int(FENCE)) * (F.col("q3") - F.col("q1")), slack)).cast("long").alias("top")).groupBy(*keys).agg(
-            F.max("total").alias(f"{name}_n"), *[F.max(F.when(F.col("metric") == k, F.col("top"))).alias(f"{name}_{k}") for k in METRICS]
+    m = m.withColumnsRenamed({lang_col: "lang", source_col: "source"}).withColumns({k: _rate(k) for k in METRICS})
+    own = m.where(~F.col("_base_failed")).groupBy("lang", "source")
+    own = cut(own.agg(F.count("*").alias("n"), *[F.kll_sketch_agg_bigint(k, F.lit(SKETCH)).alias(k) for k in METRICS]))
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_bigint(k, F.lit(SKETCH)).alias(k) for k in METRICS]]
+    by_lang = cut(own.groupBy("lang").agg(*merged))
+
+    def fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
+        at = F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)])
+        # of no sketch at all, as in an empty table, there are no quantiles
+        q = {k: F.kll_sketch_get_quantile_bigint(k, at) for k in METRICS}
+        top = lambda x: x[3] + FENCE * F.greatest(x[3] - x[1], x[4] - x[2])
+        low = lambda x: x[1] - FENCE * F.greatest(x[3] - x[1], x[2] - x[0])
+        out = sketch.where("n > 0").select(*keys, F.col("n").alias(f"{name}_n"), *[q[k].alias(k) for k in METRICS])
+        return out.select(*keys, f"{name}_n", *[top(F.col(k)).alias(f"{name}_top_{k}") for k in METRICS], low(F.col("len")).alias(f"{name}_low_len"))
+
+    groups = m.groupBy("lang", "source").agg(F.lit(1)).select("lang", "source")
+    out = eq_join(eq_join(groups, fences(own, ["lang", "source"], "own"), ["lang", "source"]), fences(by_lang, ["lang"], "lang"), ["lang"])
+    out = out.join(F.broadcast(fences(by_lang.agg(*merged), [], "all")), F.lit(True), "left")  # one row
+
+    def pick(what: str, strict) -> Column:
+        return F.when(F.coalesce(F.col("lang_n"), F.lit(0)) < MIN_GROUP, F.col(f"all_{what}")).otherwise(
+            F.when(F.coalesce(F.col("own_n"), F.lit(0)) < MIN_GROUP, F.col(f"lang_{what}")).otherwise(strict(F.col(f"own_{what}"), F.col(f"lang_{what}")))
         )
 
-    own, by_lang, all_docs = fence(cells, ["lang", "source"], "own"), fence(wider, ["lang"], "lang"), fence(widest, [], "all")
-    groups = docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source")).distinct()
-    out = eq_join(eq_join(groups, own, ["lang", "source"]), by_lang, ["lang"]).join(F.broadcast(all_docs), F.lit(True), "left")  # all_docs: one row
-    # the strictest holds of a source's own fence and its language's, so that a source full of junk can't excuse itself
-    top = lambda k: F.when(F.coalesce(F.col("lang_n"), F.lit(0)) < MIN_GROUP, F.col(f"all_{k}")).otherwise(
-        F.when(F.coalesce(F.col("own_n"), F.lit(0)) < MIN_GROUP, F.col(f"lang_{k}")).otherwise(F.least(f"own_{k}", f"lang_{k}"))
-    )
-    return out.select("lang", "source", *[top(k).alias(f"_top_{k}") for k in METRICS])
+    return out.select("lang", "source", *[pick(f"top_{k}", F.least).alias(f"_top_{k}") for k in METRICS], pick("low_len", F.greatest).alias("_low_len"))
 
 
-def apply_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True) -> DataFrame:
-    """docs with the measures, `_base_failed` and `_kept`.
+def _within(metric: str, fence: Column, sign: int) -> Column:
+    """Whether a count lies within its fence (the rate in thousandths) but for the noise of a count of that size."""
+    count, base, event = METRICS[metric]
+    count, base = F.col(count).cast("double"), F.col(base).cast("double")
+    beyond = sign * (1000 * count - fence * base)
+    return (beyond <= 0) | (beyond * beyond <= NOISE * NOISE * 1000 * event * (F.greatest(fence, F.lit(0)) * base + 1000 * event))
 
-    With keep_text the texts are measured twice rather than shuffled or written; without it the measures are
-    written once and the text is dropped.
 
-    Null or empty texts have no words and fail the base rules. Null languages and sources form groups of their
-    own. Repeated rows count again. If no document passes the base rules there is no sketch, and none is kept.
+def apply_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = True) -> DataFrame:
+    """docs with the MEASURES, `_base_failed` and `_kept`; without keep_text the text is dropped.
+
+    Texts are measured once: documents and measures are written to the shared checkpoint folder as Parquet, whose
+    narrow columns make the sketches. Null or empty texts have no words and fail the base rules. Null languages and
+    sources form groups of their own. Repeated rows count again. If no document passes the base rules there is no
+    sketch, and none is kept; an empty table gives an empty table. A column of docs with an output's name is
+    replaced by the output; all others are kept.
     """
-    if keep_text:
-        m, slim = measured(docs, text_col), measured(docs.select(text_col, lang_col, source_col), text_col).drop(text_col)
-    else:
-        slim = m = cut(measured(docs, text_col).drop(text_col))
-    tops = thresholds(slim, docs, lang_col, source_col).withColumnRenamed("lang", lang_col).withColumnRenamed("source", source_col)
-    out = sized_join(m, tops, [lang_col, source_col])
+    own = Aside(docs)
+    text, lang, source = own.of(text_col), own.of(lang_col), own.of(source_col)
+    m = measured(own.df, text)
+    m = written(m) if keep_text else cut(m.drop(text))
+    tops = thresholds(m.select(lang, source, *MEASURES, "_base_failed"), lang, source).withColumnsRenamed({"lang": lang, "source": source})
     ok = ~F.col("_base_failed")
-    for k, v in _metrics().items():
-        ok = ok & (v <= F.col(f"_top_{k}"))
-    return out.withColumn("_kept", F.coalesce(ok, F.lit(False))).drop(*[f"_top_{k}" for k in METRICS])
+    for k in METRICS:
+        ok = ok & _within(k, F.col(f"_top_{k}"), 1)
+    ok = ok & _within("len", F.col("_low_len"), -1)
+    out = sized_join(m, tops, [lang, source]).withColumn("_kept", F.coalesce(ok, F.lit(False)))
+    return own.back(out, {c: c for c in (*MEASURES, "_base_failed", "_kept")}, () if keep_text else (text_col,))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's measures and verdict of every document."""
     out = apply_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
     return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
@@ -144,14 +166,18 @@ m as (select rid, doc_id, lang, source, cast(len(w) as bigint) as n_words,
              cast(coalesce(n, 0) as bigint) as n_repeat_words
       from d left join cov using (rid)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
-v as (select rid, lang, source, base_failed, unnest(['sym', 'dup', 'rep', 'len']) as metric, unnest([150, 400, 400, 2500]) as slack,
-             unnest([case when n_words > 0 then 1000 * n_symbols // n_words else 0 end, case when nl > 0 then 1000 * n_dup_lines // nl else 0 end,
-                     case when n_words > 0 then 1000 * n_repeat_words // n_words else 0 end, case when n_words > 0 then 1000 * word_chars // n_words else 0 end]) as v from b),
-o as (select lang, source, metric, count(*) as n, quantile_disc(v, 0.75) + greatest(3 * (quantile_disc(v, 0.75) - quantile_disc(v, 0.25)), any_value(slack)) as top from v where not base_failed group by all),
-g as (select lang, metric, count(*) as n, quantile_disc(v, 0.75) + greatest(3 * (quantile_disc(v, 0.75) - quantile_disc(v, 0.25)), any_value(slack)) as top from v where not base_failed group by all),
-a as (select metric, quantile_disc(v, 0.75) + greatest(3 * (quantile_disc(v, 0.75) - quantile_disc(v, 0.25)), any_value(slack)) as top from v where not base_failed group by all),
-f as (select v.rid, bool_and(coalesce(v.v <= case when coalesce(g.n, 0) < 20 then a.top when coalesce(o.n, 0) < 20 then g.top else least(o.top, g.top) end, false)) as ok
-      from v left join o on v.lang is not distinct from o.lang and v.source is not distinct from o.source and v.metric = o.metric
-             left join g on v.lang is not distinct from g.lang and v.metric = g.metric left join a on v.metric = a.metric group by v.rid)
+v as (select rid, lang, source, base_failed, unnest(['sym', 'dup', 'rep', 'len']) as metric, unnest([1, 1, 6, 1]) as ev, unnest([n_symbols, n_dup_lines, n_repeat_words, word_chars]) as c, unnest([n_words, nl, n_words, n_words]) as n from b),
+r as (select *, case when n > 0 then 1000 * c // n else 0 end as v from v),
+o as (select lang, source, metric, count(*) as k, quantile_disc(v, [0.1, 0.25, 0.5, 0.75, 0.9]) as q from r where not base_failed group by all),
+g as (select lang, metric, count(*) as k, quantile_disc(v, [0.1, 0.25, 0.5, 0.75, 0.9]) as q from r where not base_failed group by all),
+a as (select metric, quantile_disc(v, [0.1, 0.25, 0.5, 0.75, 0.9]) as q from r where not base_failed group by all),
+e as (select r.rid, r.metric, ev, cast(r.c as double) as c, cast(r.n as double) as n, coalesce(g.k, 0) as gk, coalesce(o.k, 0) as ok,
+             o.q[4] + 3 * greatest(o.q[4] - o.q[2], o.q[5] - o.q[3]) as ot, g.q[4] + 3 * greatest(g.q[4] - g.q[2], g.q[5] - g.q[3]) as gt, a.q[4] + 3 * greatest(a.q[4] - a.q[2], a.q[5] - a.q[3]) as xt,
+             o.q[2] - 3 * greatest(o.q[4] - o.q[2], o.q[3] - o.q[1]) as ol, g.q[2] - 3 * greatest(g.q[4] - g.q[2], g.q[3] - g.q[1]) as gl, a.q[2] - 3 * greatest(a.q[4] - a.q[2], a.q[3] - a.q[1]) as xl
+      from r left join o on r.lang is not distinct from o.lang and r.source is not distinct from o.source and r.metric = o.metric
+             left join g on r.lang is not distinct from g.lang and r.metric = g.metric left join a on r.metric = a.metric),
+t as (select *, case when gk < 20 then xt when ok < 20 then gt else least(ot, gt) end as top, case when metric <> 'len' then null when gk < 20 then xl when ok < 20 then gl else greatest(ol, gl) end as low from e),
+f as (select rid, bool_and(coalesce((1000 * c <= top * n or pow(1000 * c - top * n, 2) <= 9000 * ev * (greatest(top, 0) * n + 1000 * ev))
+                                and (metric <> 'len' or 1000 * c >= low * n or pow(1000 * c - low * n, 2) <= 9000 * ev * (greatest(low, 0) * n + 1000 * ev)), false)) as ok from t group by rid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ok as kept from b join f using (rid)
 """
