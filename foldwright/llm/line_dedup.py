@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import SPACE, cut, ship, sized_join, small_batches, table
+from foldwright.llm.common import SPACE, Aside, cut, eq_join, ship, sized_join, small_batches, table
 
 ship(__name__)
 
@@ -55,35 +55,36 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     """docs with `_n_lines`, `_n_dropped` and `_kept`: the text without lines whose key is in >= min_docs documents.
 
     Rows of one id are one document, which counts once for a line; rows without an id count for none, as in
-    OP1_SQL, and lose lines like any other. Null or empty texts have one empty line, whose key is
-    empty and never dropped. Null ids are ids of their own. Lines longer than any other are hashed whole. Other
-    columns of docs are kept as they are, if none begins with an underscore; an empty table gives an empty table.
+    OP1_SQL, and lose lines like any other. Null or empty texts have one empty line, whose key is empty and never
+    dropped. Lines longer than any other are hashed whole. Repeated rows repeat; an empty table gives an empty table.
+    A column of docs with an output's name is replaced by the output; all others are kept.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_sum"), F.coalesce(text_col, F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
+    all_of = Aside(docs)
+    id_, text = all_of.of(id_col), all_of.of(text_col)
+    own = all_of.df.select(F.col(id_).alias("_id"), F.xxhash64(text).alias("_sum"), F.coalesce(text, F.lit("")).alias("text"))
     at = hashed_lines(own)
     common = cut(at.where("first").groupBy("a", "b", "_id").agg(F.lit(1)).groupBy("a", "b").agg(F.count("_id").alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
-    at = at.select("_id", "_sum", "pos", "a", "b")
-    hits = sized_join(at, common, ["a", "b"], "left_semi")
+    hits = sized_join(at.select("_id", "_sum", "pos", "a", "b"), common, ["a", "b"], "left_semi")
     lost = hits.groupBy("_id", "_sum").agg(F.sort_array(F.collect_set("pos")).alias("_lost"))
     # positions to flags: false for each line kept, true for each lost, as far as the last one lost
     gap = F.transform("_lost", lambda p, i: F.concat(F.array_repeat(F.lit(False), (p - F.when(i == 0, -1).otherwise(F.get("_lost", i - 1)) - 1).cast("int")), F.array(F.lit(True))))
     lost = lost.select("_id", "_sum", F.flatten(gap).alias("_flags"))
-    left = docs.withColumn("_key", F.struct(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_sum")))
-    out = left.join(lost.select(F.struct("_id", "_sum").alias("_key2"), "_flags"), F.col("_key").eqNullSafe(F.col("_key2")), "left").drop("_key", "_key2")
-    lines = lines_of(F.col(text_col))
+    out = eq_join(all_of.df.withColumns({"_id": F.col(id_), "_sum": F.xxhash64(text)}), lost, ["_id", "_sum"])
+    lines = lines_of(F.col(text))
     kept = F.filter(lines, lambda x, i: ~F.coalesce(F.get("_flags", i), F.lit(False)))
-    n = F.size(lines).cast("long")
-    return (
-        out.withColumn("_n_lines", n)
-        .withColumn("_n_dropped", F.coalesce(F.size(F.filter("_flags", lambda x: x)), F.lit(0)).cast("long"))
-        .withColumn("_kept", F.when(F.col("_flags").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")))
-        .drop("_flags")
+    return all_of.back(
+        out,
+        {
+            "_n_lines": F.size(lines).cast("long"),
+            "_n_dropped": F.coalesce(F.size(F.filter("_flags", lambda x: x)), F.lit(0)).cast("long"),
+            "_kept": F.when(F.col("_flags").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")),
+        },
     )
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before, lines dropped, and a hash of what stays, of every document."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.encode("_kept", "UTF-8"), 256).alias("kept_sha256"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import cut, eq_join, sized_join, table, words_of
+from foldwright.llm.common import Aside, cut, eq_join, sized_join, table, words_of
 
 WEIGHTS = (5, 2, 1)
 TOTAL, MAX_PASSES = 1.5, 2
@@ -68,11 +68,17 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
 
     Null or empty texts have size 0 and take nothing. A null source is a source, the last. Repeated rows and rows
     without an id are documents like any other; rows equal in id and text may change places in a shard, which
-    changes nothing in the result's rows. An empty table gives an empty table.
+    changes nothing in the result's rows. An empty table gives an empty table. A column of docs with an output's name
+    is replaced by the output; all others are kept, but for the text without keep_text.
+
+    All sources meet in one task, a row each, and so do the shards of a source: they are as many as its words by
+    SHARD_WORDS. Repeated rows share a shard, whose window holds no text.
     """
-    sized = docs.withColumn("_size", F.size(words_of(F.col(text_col))).cast("long")).withColumn("_h", F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col)))
-    sized = sized if keep_text else cut(sized.drop(text_col))
-    slim = sized.select(F.col(source_col).alias("source"), F.col(id_col).alias("_id"), "_size", "_h")
+    all_of = Aside(docs)
+    text, kind, id_ = all_of.of(text_col), all_of.of(source_col), all_of.of(id_col)
+    sized = all_of.df.withColumn("_size", F.size(words_of(F.col(text))).cast("long")).withColumn("_h", F.xxhash64(F.lit(SEED), F.col(id_), F.col(text)))
+    sized = sized if keep_text else cut(sized.drop(text))
+    slim = sized.select(F.col(kind).alias("source"), F.col(id_).alias("_id"), "_size", "_h")
     src = source_targets(slim.groupBy("source").agg(F.sum("_size").alias("source_size")))
     src = src.withColumn("_seats", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / BLOCK_WORDS + 0.5).cast("long"))
     src = cut(apportion(src, "_seats", "target", [], ["ord"], "_quota").drop("_seats").withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long")))
@@ -85,12 +91,13 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     shards = shards.withColumn("_nb", F.greatest("_nb", F.lit(1))).withColumn("_off", F.pmod(F.xxhash64(F.lit(SEED), F.col("source"), F.col("_shard")), F.col("_nb")))
     shards = shards.select("source", "_shard", "_passes", "_m", "_nb", "_off")
     w = Window.partitionBy("source", "_shard").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)
-    laid = sized.withColumn("source", F.col(source_col)).withColumn("_id", F.col(id_col))
+    laid = sized.withColumn("source", F.col(kind)).withColumn("_id", F.col(id_))
     laid = sized_join(laid, src.select("source", "source_size", "target", "_shards"), ["source"]).withColumn("_shard", F.pmod(F.col("_h"), F.col("_shards")))
     laid = laid.withColumn("_start", F.coalesce(F.sum("_size").over(w), F.lit(0)))
     laid = sized_join(laid, shards, ["source", "_shard"])
     taken = F.col("_passes") * F.col("_size") + F.when(F.col("_m") > 0, _before(F.col("_start") + F.col("_size")) - _before(F.col("_start"))).otherwise(F.lit(0))
-    return laid.withColumn("_taken", taken.cast("long")).select(*[c for c in docs.columns if keep_text or c != text_col], "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_taken", "_passes", "_start", "_m", "_nb", "_off")
+    made = {"_size": "_size", "_source_size": "source_size", "_target": "target", "_taken": taken.cast("long")}
+    return all_of.back(laid, made | {c: c for c in ("_passes", "_start", "_m", "_nb", "_off")}, () if keep_text else (text_col,))
 
 
 def mixed_texts(mixed: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
@@ -102,12 +109,10 @@ def mixed_texts(mixed: DataFrame, columns: list[str], text_col: str = "text") ->
     partial = F.col("_taken") - F.col("_passes") * F.col("_size")
     copies = F.when(F.col("_passes") > 0, F.array_repeat(F.col(text_col), F.col("_passes").cast("int"))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(copies, F.when(partial > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = mixed.withColumn("_text", F.explode(texts)).withColumn(text_col, F.col("_text"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length(text_col).cast(mixed.schema["n_chars"].dataType))
-    return out.select(*columns)
+    return mixed.withColumn("_text", F.explode(texts)).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, its source's size and target, and the words taken of every document."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))

@@ -170,8 +170,10 @@ def near_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of word shingles. Texts without
     words, or null, have empty sets and no links. Rows of one id are one document, whatever their texts: what any
     of them is linked with, the id is. A null id is linked with nothing and its component is null. An empty table
-    gives an empty table. Without halves, halves_for(percent, rows) are made.
+    gives an empty table. Without halves, halves_for(percent, rows) are made. Columns other than the two take no part.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} holds {docs.schema[id_col].dataType.simpleString()}; near duplicates take whole-number ids")
     halves = halves or halves_for(percent, rows)
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -207,6 +209,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and whether it is its first, of every document; 85 percent links."""
     out = near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.llm.bpe import vocabulary
-from foldwright.llm.common import kept_by_worker, ship, small_batches, table
+from foldwright.llm.common import Aside, kept_by_worker, ship, small_batches, table
 
 ship(__name__)
 
 PIECE_BPE = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Half of the counts that a task remembers.
-MEMORY = 300_000
+#: Half of the counts that a task remembers, and characters of the longest pre-token remembered.
+MEMORY, MEMORY_WORD = 300_000, 64
 BLANK = "▁"
 NO_RANK = np.iinfo(np.int64).max
 
@@ -149,37 +149,44 @@ class RankMerger:
         bad = np.repeat(np.logical_or.reduceat(bad, np.flatnonzero(new)), np.diff(np.r_[np.flatnonzero(new), n]))
         return hit[new | (~bad & (within % 2 == 0))]
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str]) -> dict[str, int]:
+        """Counts of the words that are too long to be remembered; the others are, from now on."""
         if len(self.known) > MEMORY:
             self.old, self.known = self.known, {}
         self.known.update({w: self.old[w] for w in words if w in self.old and w not in self.known})
         new = sorted((w for w in words if w not in self.known), key=len)
+        long: dict[str, int] = {}
         i = 0
         while i < len(new):  # ragged batches of bounded size
             j, n = i, 0
             while j < len(new) and (n == 0 or n + len(new[j]) <= 400_000):
                 n += len(new[j])
                 j += 1
-            self.known.update(zip(new[i:j], self._merged(new[i:j]).tolist(), strict=True))
+            for w, k in zip(new[i:j], self._merged(new[i:j]).tolist(), strict=True):
+                (self.known if len(w) <= MEMORY_WORD else long)[w] = k
             i = j
+        return long
 
     def counts(self, texts: list[str]) -> list[int]:
         split = [self.split.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        words = set().union(*split)
-        self._learn(words)
+        long = self._learn(set().union(*split))
         known = self.known
-        return [sum([known[w] for w in s]) for s in split]
+        if not long:
+            return [sum([known[w] for w in s]) for s in split]
+        return [sum([known[w] if w in known else long[w] for w in s]) for s in split]
 
 
 def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """docs without their text, with `_n_bytes`, `_n_tokens`, `_over_limit`. Null texts are empty and have no tokens.
 
-    Strings of special tokens inside a text are ordinary text. Rows are independent, so repeated rows repeat.
+    Strings of special tokens inside a text are ordinary text. Rows are independent, so repeated rows repeat, and an
+    empty table gives an empty table. A column of docs with an output's name is replaced by the output.
     """
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text_col]
-    names = [f"c{i}" for i in range(len(rest))]
-    own = docs.select(*[F.col(c).alias(n) for c, n in zip(rest, names, strict=True)], F.coalesce(text_col, F.lit("")).alias("text"))
+    all_of = Aside(docs)
+    text = all_of.of(text_col)
+    names = [n for n in all_of.names if n != text]
+    own = all_of.df.select(*names, F.coalesce(text, F.lit("")).alias("text"))
     kinds = "".join(f"{n} {own.schema[n].dataType.simpleString()}, " for n in names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +196,10 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(merger.counts(texts), pa.int64())], names=[*names, "n_bytes", "n_tokens"])
 
     out = own.mapInArrow(count, f"{kinds}n_bytes bigint, n_tokens bigint")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, rest, strict=True)], F.col("n_bytes").alias("_n_bytes"), F.col("n_tokens").alias("_n_tokens"), (F.col("n_tokens") > limit).alias("_over_limit"))
+    return all_of.back(out, {"_n_bytes": "n_bytes", "_n_tokens": "n_tokens", "_over_limit": F.col("n_tokens") > limit}, (text_col,))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Bytes, tokens and whether these are more than LIMIT, of every document."""
     out = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), path or vocabulary(PIECE_BPE))
     return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("n_bytes", "n_tokens", "over_limit")])

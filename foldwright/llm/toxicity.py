@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import SPACE, cut, ship, small_batches, table
+from foldwright.llm.common import SPACE, Aside, cut, ship, small_batches, table
 
 ship(__name__)
 
@@ -129,12 +129,16 @@ def fitted(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
 
 
 def scored(docs: DataFrame, model: FactorizationMachine, text_col: str = "text") -> DataFrame:
-    """docs without their text, with `_score`. A null text is empty; an empty one has the bias for its score."""
+    """docs without their text, with `_score`, which replaces a column of that name.
+
+    A null text is empty; an empty one has the bias for its score. Repeated rows repeat; an empty table gives an empty table.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.ids, model.bias, model.w, model.v))  # at most TERMS terms
-    rest = [c for c in docs.columns if c != text_col]
-    names = [f"c{i}" for i in range(len(rest))]
-    own = docs.select(*[F.col(c).alias(n) for c, n in zip(rest, names, strict=True)], F.coalesce(text_col, F.lit("")).alias("text"))
+    all_of = Aside(docs)
+    text = all_of.of(text_col)
+    names = [n for n in all_of.names if n != text]
+    own = all_of.df.select(*names, F.coalesce(text, F.lit("")).alias("text"))
     kinds = "".join(f"{n} {own.schema[n].dataType.simpleString()}, " for n in names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +161,7 @@ def scored(docs: DataFrame, model: FactorizationMachine, text_col: str = "text")
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(m.score(docs))], names=[*names, "score"])
 
     out = own.mapInArrow(score, f"{kinds}score double")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, rest, strict=True)], F.col("score").alias("_score"))
+    return all_of.back(out, {"_score": "score"}, (text_col,))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,7 +187,7 @@ def test_pipeline_stages_keep_the_columns(spark, texts):
     for name, stage in c.STAGES[:-1]:
         out = stage(spark, d, "")
         assert out.columns == d.columns and out.count() > 0, name
-        d = c.written(spark, out)
+        d = common.written(out)
     out = c.STAGES[-1][1](spark, d, "")
     enc = bpe.TreeEncoder(bpe.vocabulary(bpe.WORD_BPE))
     want = sorted((r.doc_id, hashlib.sha256(np.array(enc.lib.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for r in d.collect())
