@@ -162,7 +162,7 @@ def test_fixed_forms_and_bootstrapping(spark):
     rng = random.Random(2)
     bits = ["a", "@", ".com", "1", "23", ".", "-", " ", "+", "(", "\n", "é🙂", "+1 (555) 123-4567", "255.1.2.3", "a@b.co"]
     t = ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(150)]
-    for i, r in enumerate(pii.found(docs_of(spark, t)).orderBy("doc_id").collect()):
+    for i, r in enumerate(pii.personal_data(docs_of(spark, t)).orderBy("doc_id").collect()):
         for k, p in FORMS.items():
             ok = lambda s, k=k: k == "email" or (all(int(x) <= 255 for x in s.split(".")) if k == "ip" else 8 <= len(re.sub(r"\D", "", s)) <= 15)
             assert [(x.start, x.end) for x in r._base if x.kind == k] == [m.span() for m in re.finditer(p, t[i]) if ok(m[0])]
