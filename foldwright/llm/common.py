@@ -110,6 +110,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the JVM collect what no frame refers to any more, so that Spark removes finished rounds' shuffle files.
+
+    For jobs of several rounds, after a cut(): else those files stay until the driver's heap happens to fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Aside:
     """A caller's columns under names of no meaning (c0, c1, ...), so that no operator's names clash with them."""
 

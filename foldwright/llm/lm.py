@@ -1,14 +1,17 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a bigram model smoothed by a prior: p(w | h) = (c(h, w) + k p(w)) / (c(h) + k) with k = PRIOR + SHARE
-c(h), where p(w) is the unigram estimate with 0.1 added to each count. As an automaton: a state for each context
-word, arcs with weights for the bigrams seen, and a failure arc of weight k / (c(h) + k) to the root, whose arcs are
-the unigrams. Texts are read left to right once; a traversal carries its state and adds up log-probabilities.
-
-The automaton grows with the corpus and is in no one place. Documents are dealt into blocks of bounded size by a
-hash. A block names the n-grams it holds, as sorted arrays of hashes cut into buckets by hash; a bucket's task
-adds up their counts over all blocks and answers each array with an array of totals; and a block builds, from
-the totals for its own n-grams, the part of the automaton that its documents can reach.
+The model is a trigram model smoothed by a prior: p(w | h) = (c(h, w) + k p(w | h')) / (c(h) + k) with k = PRIOR +
+SHARE c(h), where h' is the context h without its first word, and p(w) the unigram estimate with 0.1 added to each
+count. As an automaton: a state for each context of two words or one, and a root; from each state arcs with weights
+for the n-grams seen, and a failure arc of weight k / (c(h) + k) to the state of the shorter context. A text is read
+once from left to right; the traversal carries its state, follows failure arcs until there is an arc for the word, and
+adds up the log-probabilities.
+
+The automaton grows with the corpus and is in no one place. Each task packs the documents that it reads into blocks
+of bounded size. A block names the n-grams it holds, cut into buckets by hash; a bucket's task adds up their counts
+over all blocks and answers each block; and a block builds, from the totals for its own n-grams, the part of the
+automaton that its documents can reach. Words are told apart by their bytes, pairs and triples by hashes of 64 bits.
+A triple is asked for only if both of its pairs occur in another block too; else its count is known in the block.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import cut, ship, small_batches, table
+from foldwright.llm.common import Aside, cut, release, ship, small_batches, table
 
 ship(__name__)
 
@@ -40,38 +44,18 @@ class _Ids(dict):
         return out
 
 
-class Block:
-    """Tokens of a block's documents end to end, and hashes of its words and bigrams, sorted and of `bits` bits."""
-
-    def __init__(self, texts: list[str], train: np.ndarray, bits: int):
-        ids = _Ids({END: 0})
-        number, flat, size = ids.__getitem__, [], []
-        for t in texts:
-            words = t.encode().lower().split()
-            words.append(END)
-            flat.append(np.fromiter(map(number, words), np.int64, len(words)))
-            size.append(len(words))
-        self.size = np.array(size)
-        self.first = np.cumsum(self.size) - self.size
-        self.cur = np.concatenate(flat)
-        self.state = np.r_[0, self.cur[:-1]]  # the state a token is read in; a text begins in that of an end
-        weight = np.repeat(train.astype(np.int64), self.size)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in ids], np.uint64)
-        self.words, self.word_at = np.unique(hashes >> np.uint64(64 - bits), return_inverse=True)
-        self.word_counts = np.bincount(self.word_at[self.cur], weights=weight, minlength=len(self.words)).astype(np.int64)
-        key = (hashes * M1)[self.state] ^ (hashes * M2 + M1)[self.cur]
-        key = ((key ^ (key >> np.uint64(31))) * M1) >> np.uint64(64 - bits)
-        self.pairs, self.pair_at = np.unique(key, return_inverse=True)
-        self.pair_counts = np.bincount(self.pair_at, weights=weight, minlength=len(self.pairs)).astype(np.int64)
-
-    def arrays(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        return [(1, self.words, self.word_counts), (2, self.pairs, self.pair_counts)]
-
-
-def edges(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    """Where buckets, equal ranges of the hash, begin and end in sorted keys."""
-    at = [(i << bits) // buckets for i in range(buckets)]
-    return np.r_[np.searchsorted(keys, np.array(at, np.uint64)), len(keys)]
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as few bytes each as the largest takes, equal bytes together."""
+    n = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T
+    return bytes([n]) + zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(x[1:]), np.uint8).reshape(x[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : x[0]] = planes.T
+    return out.reshape(-1).view("<u8").astype(np.int64)
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
@@ -88,71 +72,201 @@ def unpacked_keys(x: bytes) -> np.ndarray:
     return np.cumsum(np.r_[np.frombuffer(x[1:9], np.uint64), gaps.reshape(-1).view(np.uint64)], dtype=np.uint64)
 
 
-def packed(x: np.ndarray) -> bytes:
-    kind = "u1" if x.max(initial=0) < 256 else "<i8"
-    return kind[-1].encode() + zlib.compress(x.astype(kind).tobytes(), 1)
+def packed_texts(texts: list[str], train: list[bool]) -> dict[str, bytes]:
+    """Texts as tokens: the words, the more frequent the lower their number, and the numbers of the texts' words."""
+    ids = _Ids({END: 0})
+    flat, size = [], []
+    for t in texts:
+        words = t.encode().lower().split()  # of bytes: A-Z, and the six white characters
+        words.append(END)
+        flat.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+        size.append(len(words))
+    cur = np.concatenate(flat)
+    order = np.argsort(-np.bincount(cur, minlength=len(ids)), kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    words = list(ids)
+    return {"words": zlib.compress(b" ".join([words[i] for i in order]), 1), "cur": packed(rank[cur]), "size": packed(np.array(size)), "train": packed(np.array(train).astype(np.int64))}
 
 
-def unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x[1:]), "u1" if x[:1] == b"1" else "<i8").astype(np.int64)
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    key = (a * M1) ^ (b * M2 + M1)
+    key = (key ^ (key >> np.uint64(31))) * M1
+    return key ^ (key >> np.uint64(29))
 
 
-def traverse(b: Block, c1: np.ndarray, c2: np.ndarray, root: np.ndarray, prior: float, share: float) -> np.ndarray:
-    """log10 probability of each text, read once from left to right by the automaton of a block.
+class Block:
+    """Tokens of a block's documents end to end, and its words and pairs of words with their counts in training."""
+
+    def __init__(self, row: dict):
+        words = zlib.decompress(row["words"]).split(b" ")
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        order = sorted(range(len(words)), key=lambda i: (hashes[i], words[i])) if len(np.unique(hashes)) < len(words) else np.argsort(hashes)
+        self.words, self.hashes = [words[i] for i in order], hashes[order]
+        at = np.empty(len(words), np.int64)
+        at[order] = np.arange(len(words))
+        self.cur = at[unpacked(row["cur"])]  # numbers of words in order of their hashes
+        self.size = unpacked(row["size"])
+        self.first = np.cumsum(self.size) - self.size
+        self.weight = np.repeat(unpacked(row["train"]), self.size)
+        self.word_counts = np.bincount(self.cur, weights=self.weight, minlength=len(words)).astype(np.int64)
+        end = at[words.index(END)]
+        self.last = np.r_[end, self.cur[:-1]]  # a text begins in the state of an end
+        self.pairs, self.pair_at = np.unique(mixed(self.hashes[self.last], self.hashes[self.cur]), return_inverse=True)
+        self.pair_counts = np.bincount(self.pair_at, weights=self.weight, minlength=len(self.pairs)).astype(np.int64)
+
+    def triples(self, shared: np.ndarray) -> None:
+        """Makes the triples; shared: of each pair, whether another block holds it. `asked` are those that others may hold."""
+        inner = np.ones(len(self.cur), bool)
+        inner[self.first] = False  # a text's first word has one word of context
+        self.inner = np.flatnonzero(inner)
+        a, b = self.pair_at[self.inner - 1], self.pair_at[self.inner]
+        self.keys, first, self.triple_at = np.unique(mixed(self.pairs[a], self.pairs[b]), return_index=True, return_inverse=True)
+        self.triple_counts = np.bincount(self.triple_at, weights=self.weight[self.inner], minlength=len(self.keys)).astype(np.int64)
+        self.asked = np.flatnonzero((shared[a] & shared[b])[first])
+
+
+def edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where buckets, equal ranges of the hash, begin and end in sorted keys."""
+    return np.r_[np.searchsorted(keys, np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)), len(keys)]
+
+
+def traverse(b: Block, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, root: np.ndarray, prior: float, share: float) -> np.ndarray:
+    """log10 probability of each text by the automaton of a block, read from left to right.
 
-    c1: counts by token id, c2: of each token's bigram, root: weights of the unigram arcs. The state that a token
-    leads to is its word's. So the states are known from the tokens, and all steps are weighed at once: by the arc
-    where the state has one, else by its failure arc and the root's arc. Weights add up along each text.
+    c1, c2, c3: counts of its words, pairs and triples; root: weights of the root's arcs. The state is a pair of words,
+    one word or the root; it is a pair's after an arc for a pair or a triple, and a word's after one of the root.
     """
-    k = prior + share * c1
-    arc = np.log10((c2 + k[b.state] * 10 ** root[b.cur]) / (c1[b.state] + k[b.state]))
-    fail = np.log10(k / (c1 + k))[b.state] + root[b.cur]
-    return np.add.reduceat(np.where(c2 > 0, arc, fail), b.first)
+    k1, k2 = prior + share * c1, prior + share * c2
+    with np.errstate(divide="ignore"):
+        arc2 = np.log10((c2[b.pair_at] + k1[b.last] * 10 ** root[b.cur]) / (c1[b.last] + k1[b.last]))
+        arc3 = np.full(len(b.cur), np.nan)
+        n3, context = c3[b.triple_at], b.pair_at[b.inner - 1]
+        arc3[b.inner] = np.where(n3 > 0, np.log10((n3 + k2[context] * 10 ** arc2[b.inner]) / (c2[context] + k2[context])), np.nan)
+    arc2[c2[b.pair_at] == 0] = np.nan
+    fail1, fail2 = np.log10(k1 / (c1 + k1))[b.last], np.zeros(len(b.cur))
+    fail2[b.inner] = np.log10(k2 / (c2 + k2))[context]
+    arc1 = root[b.cur]
+    out = np.zeros(len(b.size))
+    for d, (i, n) in enumerate(zip(b.first.tolist(), b.size.tolist(), strict=True)):
+        total, deep = 0.0, False  # deep: the state is a pair's
+        part = slice(i, i + n)
+        for x1, x2, x3, f1, f2 in zip(arc1[part].tolist(), arc2[part].tolist(), arc3[part].tolist(), fail1[part].tolist(), fail2[part].tolist(), strict=True):
+            if deep:
+                if x3 <= 0:  # the pair has an arc for the word; no arc is nan
+                    total += x3
+                    continue
+                total += f2  # failure arc to the last word's state
+            if x2 <= 0:
+                total += x2
+                deep = True
+            else:
+                total += f1 + x1  # failure arc to the root, whose arcs are all words
+                deep = False
+        out[d] = total
+    return out
+
+
+KEYS = "block long, bucket int, kind int, keys binary, counts binary"
+TOLD = "block long, bucket int, kind int, counts binary"
+
+
+def _told(t: pa.Table) -> pa.Table:
+    """A bucket's n-grams of all blocks to their totals for each block, and one row (block -1) of what the bucket holds."""
+    kind, bucket = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
+    keys = t.column("keys").to_pylist()
+    if kind == 1:
+        lists = [zlib.decompress(k).split(b" ") for k in keys]
+        ids, size = _Ids(), [len(x) for x in lists]
+        at = np.fromiter((ids[w] for x in lists for w in x), np.int64, sum(size))
+    else:
+        arrays = [unpacked_keys(k) for k in keys]
+        size = [len(x) for x in arrays]
+        at = np.unique(np.concatenate(arrays), return_inverse=True)[1]
+    total = np.bincount(at, weights=np.concatenate([unpacked(c) for c in t.column("counts").to_pylist()])).astype(np.int64)
+    value = total if kind != 2 else 2 * total + (np.bincount(at) > 1)  # a block names a pair once
+    parts = np.split(value[at], np.cumsum(size)[:-1])
+    stats = np.array([(total > 0).sum(), total.sum()])
+    n = len(keys) + 1
+    return pa.table({"block": pa.array([*t.column("block").to_pylist(), -1], pa.int64()), "bucket": pa.array([bucket] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "counts": pa.array([*map(packed, parts), packed(stats)], pa.binary())})
+
+
+def _answers(t: pa.Table) -> dict[int, np.ndarray]:
+    """Totals by kind, in order of the block's n-grams."""
+    t = t.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    kinds, counts = t.column("kind").to_pylist(), t.column("counts").to_pylist()
+    return {k: np.concatenate([np.empty(0, np.int64), *[unpacked(c) for c, kind in zip(counts, kinds, strict=True) if kind == k]]) for k in (1, 2, 3)}
 
 
 def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_col: str = "text", train_col: str = "train", block_bytes: int = BLOCK_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
-    """docs without their text, with `_n_tokens`, `_n_known`, `_train_tokens`, `_base_score`, `_score`.
+    """docs without text_col and train_col, with `_n_tokens`, `_n_known`, `_train_tokens`, `_base_score`, `_score`.
 
     Counts are those of all rows with train_col true, a repeated row counting again; null is false. A null text is
-    empty: one token, the end. Without training rows every word has the same probability. Words and bigrams are
-    told apart by hashes of up to 64 bits. An empty table gives an empty table.
+    empty: one token, the end. Without training rows every word has the same probability. An empty table gives an
+    empty table. A column of docs with an output's name is replaced by the output.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rest = [c for c in docs.columns if c not in (text_col, train_col)]
-    names = [f"c{i}" for i in range(len(rest))]
-    own = docs.select(*[F.col(c).alias(n) for c, n in zip(rest, names, strict=True)], F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(train_col, F.lit(False)).alias("train"))
+    all_of = Aside(docs)
+    text, train = all_of.of(text_col), all_of.of(train_col)
+    names = [n for n in all_of.names if n not in (text, train)]
+    own = all_of.df.select(*names, F.coalesce(text, F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     kinds = "".join(f"{n} {own.schema[n].dataType.simpleString()}, " for n in names)
-    n_bytes = own.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
-    n_blocks, n_buckets = max(1, round(n_bytes / block_bytes)), max(1, round(n_bytes / 6 / bucket_grams))
-    bits = min(64, int(n_bytes).bit_length() + 17)  # a chance below 1e-5 that a hash is another n-gram's too
-    own = own.withColumn("block", F.pmod(F.xxhash64(*names, "text"), F.lit(n_blocks)).cast("int"))
-
-    def block_of(t: pa.Table) -> Block:
-        return Block(t.column("text").to_pylist(), t.column("train").to_numpy(zero_copy_only=False).astype(bool), bits)
-
-    def grams(t: pa.Table) -> pa.Table:
-        out = {"bucket": [], "kind": [], "keys": [], "counts": []}
-        for kind, keys, counts in block_of(t).arrays():
-            at = edges(keys, n_buckets, bits)
-            for i in np.flatnonzero(np.diff(at)):
-                part = slice(at[i], at[i + 1])
-                out["bucket"].append(i), out["kind"].append(kind), out["keys"].append(packed_keys(keys[part])), out["counts"].append(packed(counts[part]))
-        block = np.full(len(out["kind"]), t.column("block")[0].as_py())
-        return pa.table({"block": pa.array(block, pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
-
-    def answers(t: pa.Table) -> pa.Table:
-        keys = [unpacked_keys(k) for k in t.column("keys").to_pylist()]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([unpacked(c) for c in t.column("counts").to_pylist()])).astype(np.int64)
-        parts = np.split(total[at], np.cumsum([len(k) for k in keys])[:-1])
-        # and, for no block, what the whole bucket holds: distinct words and tokens in training
-        stats = np.array([(total > 0).sum(), total.sum()])
-        kind, bucket = t.column("kind").to_pylist(), t.column("bucket").to_pylist()
-        return pa.table({"block": pa.array([*t.column("block").to_pylist(), -1], pa.int32()), "bucket": pa.array([*bucket, bucket[0]], pa.int32()), "kind": pa.array([*kind, kind[0]], pa.int32()), "counts": pa.array([*[packed(p) for p in parts], packed(stats)], pa.binary())})
-
-    asked = own.select("block", "text", "train").groupBy("block").applyInArrow(grams, "block int, bucket int, kind int, keys binary, counts binary")
-    told = cut(asked.groupBy("kind", "bucket").applyInArrow(answers, "block int, bucket int, kind int, counts binary"))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, at = [], 0, TaskContext.get().partitionId() << 32
+
+        def made() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            row = packed_texts(t.column("text").to_pylist(), t.column("train").to_pylist())
+            sink = pa.BufferOutputStream()
+            rest = t.select(names)
+            with pa.ipc.new_stream(sink, rest.schema) as out:
+                out.write_table(rest)
+            return pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int64()), "n": pa.array([size], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in row.items()}, "rest": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        for b in batches:
+            lengths = np.array([len(x) for x in b.column("text").to_pylist()], np.int64) + 1
+            for i in range(b.num_rows):  # a row at a time, so that a block ends where it is full
+                held.append(b.slice(i, 1))
+                size += int(lengths[i])
+                if size >= block_bytes:
+                    yield made()
+                    held, size, at = [], 0, at + 1
+        if held:
+            yield made()
+
+    dealt = cut(own.mapInArrow(blocks, "block long, n long, words binary, cur binary, size binary, train binary, rest binary"))
+    n_buckets = max(1, round((dealt.agg(F.sum("n")).first()[0] or 1) / 6 / bucket_grams))
+    PARTS = ["block", "words", "cur", "size", "train"]
+
+    def rows_of(block: int, kind: int, keys: np.ndarray, pack, counts: np.ndarray) -> pa.RecordBatch:
+        at = edges(keys, n_buckets)
+        some = np.flatnonzero(np.diff(at))
+        parts = [slice(at[i], at[i + 1]) for i in some]
+        n = len(some)
+        return pa.RecordBatch.from_pydict({"block": pa.array([block] * n, pa.int64()), "bucket": pa.array(some, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "keys": pa.array([pack(p) for p in parts], pa.binary()), "counts": pa.array([packed(counts[p]) for p in parts], pa.binary())})
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Block(row)
+                yield rows_of(row["block"], 1, b.hashes, lambda p, b=b: zlib.compress(b" ".join(b.words[p]), 1), b.word_counts)
+                yield rows_of(row["block"], 2, b.pairs, lambda p, b=b: packed_keys(b.pairs[p]), b.pair_counts)
+
+    def triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        b = Block(row)
+        b.triples((_answers(right)[2] & 1).astype(bool))
+        keys, counts = b.keys[b.asked], b.triple_counts[b.asked]
+        return pa.Table.from_batches([rows_of(row["block"], 3, keys, lambda p: packed_keys(keys[p]), counts)])
+
+    told = cut(dealt.select(*PARTS).mapInArrow(grams, KEYS).groupBy("kind", "bucket").applyInArrow(_told, TOLD))
+    release(spark)
+    asked = dealt.select(*PARTS).groupBy("block").cogroup(told.where("block >= 0 and kind = 2").groupBy("block")).applyInArrow(triples, KEYS)
+    told = told.unionByName(cut(asked.groupBy("kind", "bucket").applyInArrow(_told, TOLD)))
+    del asked
+    release(spark)
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,24 +276,28 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_
     stats = told.where("block = -1 and kind = 1").select("counts").mapInArrow(both, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
     n_words, n_train = stats[0] or 0, stats[1] or 0
 
-    def score(a: pa.Table, t: pa.Table) -> pa.Table:
-        b = block_of(a)
-        t = t.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        of = {k: [unpacked(c) for c, kind in zip(t.column("counts").to_pylist(), t.column("kind").to_pylist(), strict=True) if kind == k] for k in (1, 2)}
-        c1 = np.concatenate(of[1])[b.word_at]  # by token id
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        b, of = Block(row), _answers(right)
+        c1, c2 = of[1], of[2] >> 1
+        b.triples((of[2] & 1).astype(bool))
+        c3 = b.triple_counts.copy()
+        c3[b.asked] = of[3]
         root = np.log10((c1 + ADD) / (n_train + ADD * (n_words + 1)))
         add = lambda x: np.add.reduceat(x, b.first)
+        with pa.ipc.open_stream(row["rest"]) as rest:
+            t = rest.read_all()
         cols = {
             "n_tokens": b.size,
             "n_known": add((c1 > 0)[b.cur].astype(np.int64)),
             "base_score": add(root[b.cur]),
-            "score": traverse(b, c1, np.concatenate(of[2])[b.pair_at], root, prior, share),
+            "score": traverse(b, c1, c2, c3, root, prior, share),
         }
-        return pa.table({**{n: a.column(n) for n in names}, **cols})
+        return pa.table({**{n: t.column(n) for n in names}, **cols})
 
-    left, right = own.groupBy("block"), told.where("block >= 0").groupBy("block")
-    out = left.cogroup(right).applyInArrow(score, f"{kinds}n_tokens long, n_known long, base_score double, score double")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, rest, strict=True)], F.col("n_tokens").alias("_n_tokens"), F.col("n_known").alias("_n_known"), F.lit(n_train).cast("long").alias("_train_tokens"), F.col("base_score").alias("_base_score"), F.col("score").alias("_score"))
+    out = dealt.select(*PARTS, "rest").groupBy("block").cogroup(told.where("block >= 0").groupBy("block")).applyInArrow(score, f"{kinds}n_tokens long, n_known long, base_score double, score double")
+    made = {f"_{c}": c for c in ("n_tokens", "n_known")} | {"_train_tokens": F.lit(n_train).cast("long"), "_base_score": "base_score", "_score": "score"}
+    return all_of.back(out, made, (text_col, train_col))
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,22 +137,36 @@ def test_top_k_is_brute_force(spark):
     assert got == sorted((q, r + 1, c, int(s[q, c])) for q in range(0, 200, 20) for r, c in enumerate(sorted((c for c in range(200) if c != q), key=lambda c: (-s[q, c], c))[:5]))
 
 
-def test_lm_is_brute_force(spark, texts):
+@pytest.mark.parametrize("block", [1, 500, 1 << 20])
+def test_lm_is_brute_force(spark, texts, block):
+    texts = [*texts, texts[0] + " é\x1cİ " + texts[1], texts[0]]
     d = docs_of(spark, texts).select("doc_id", "text", (F.col("doc_id") % 10 != 0).alias("train"))
-    got = lm.lm_scores(d, block_bytes=500, bucket_grams=200).collect()
+    got = lm.lm_scores(d, block_bytes=block, bucket_grams=200).collect()
     toks = [[*(t or "").encode().lower().split(), b""] for t in texts]
-    c1, c2 = Counter(), Counter()
+    c1, c2, c3 = Counter(), Counter(), Counter()
     for i, t in enumerate(toks):
         if i % 10:
-            c1.update(t), c2.update(zip([b"", *t], t))
+            c1.update(t), c2.update(zip([b"", *t], t)), c3.update(zip([b"", *t], t, t[1:]))
     n, v = sum(c1.values()), len(c1)
     uni = lambda w: (c1[w] + 0.1) / (n + 0.1 * (v + 1))
     bi = lambda h, w: (c2[h, w] + (1 + c1[h]) * uni(w)) / (1 + 2 * c1[h])
+    tri = lambda g, h, w: (c3[g, h, w] + (1 + c2[g, h]) * bi(h, w)) / (1 + 2 * c2[g, h])
+    assert len(got) == len(texts)
     for r in got:
         t = toks[r.doc_id]
-        assert (r._n_tokens, r._train_tokens) == (len(t), n)
+        assert (r._n_tokens, r._n_known, r._train_tokens) == (len(t), sum(c1[w] > 0 for w in t), n)
         assert r._base_score == pytest.approx(sum(np.log10(uni(w)) for w in t))
-        assert r._score == pytest.approx(sum(np.log10(bi(h, w)) for h, w in zip([b"", *t], t)))
+        want = np.log10(bi(b"", t[0])) + sum(np.log10(tri(g, h, w)) for g, h, w in zip([b"", *t], t, t[1:]))
+        assert r._score == pytest.approx(want)
+
+
+def test_words_of_equal_hash_keep_apart(monkeypatch):
+    monkeypatch.setattr(lm.xxhash, "xxh64_intdigest", lambda w: 7)
+    b = lm.Block(lm.packed_texts(["a b a", "c"], [True, False]))
+    assert dict(zip(b.words, b.word_counts.tolist())) == {b"": 1, b"a": 2, b"b": 1, b"c": 0}
+    t = lm.pa.table({"block": [1, 2], "bucket": [0, 0], "kind": [1, 1], "keys": [lm.zlib.compress(b"a b"), lm.zlib.compress(b" b c")], "counts": [lm.packed(np.array(x)) for x in ([2, 1], [1, 0, 5])]})
+    got = {r["block"]: lm.unpacked(r["counts"]).tolist() for r in lm._told(t).to_pylist()}
+    assert got == {1: [2, 1], 2: [1, 1, 5], -1: [4, 9]}
 
 
 FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
