@@ -64,6 +64,11 @@ def _let_go(store: dict, rest: float) -> None:
                 del store["_watch"]
                 break
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that this process has freed back to the system."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
@@ -113,10 +118,13 @@ def written(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets the JVM collect what no frame refers to any more, so that Spark removes finished rounds' shuffle files.
 
-    For jobs of several rounds, after a cut(): else those files stay until the driver's heap happens to fill.
+    For jobs of several rounds, after a cut(): else those files stay until the driver's heap happens to fill. What
+    the first collection frees still refers to some of them, so there are two.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 class Aside:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import Aside, cut, release, ship, small_batches, table
+from foldwright.llm.common import Aside, cut, release, ship, small_batches, table, trim
 
 ship(__name__)
 
@@ -90,9 +91,16 @@ def packed_texts(texts: list[str], train: list[bool]) -> dict[str, bytes]:
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    key = (a * M1) ^ (b * M2 + M1)
-    key = (key ^ (key >> np.uint64(31))) * M1
-    return key ^ (key >> np.uint64(29))
+    """A hash of two hashes; a and b are used up."""
+    a *= M1
+    b *= M2
+    b += M1
+    a ^= b
+    del b
+    a ^= a >> np.uint64(31)
+    a *= M1
+    a ^= a >> np.uint64(29)
+    return a
 
 
 class Block:
@@ -103,27 +111,30 @@ class Block:
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
         order = sorted(range(len(words)), key=lambda i: (hashes[i], words[i])) if len(np.unique(hashes)) < len(words) else np.argsort(hashes)
         self.words, self.hashes = [words[i] for i in order], hashes[order]
-        at = np.empty(len(words), np.int64)
-        at[order] = np.arange(len(words))
+        at = np.empty(len(words), np.int32)
+        at[order] = np.arange(len(words), dtype=np.int32)
         self.cur = at[unpacked(row["cur"])]  # numbers of words in order of their hashes
         self.size = unpacked(row["size"])
         self.first = np.cumsum(self.size) - self.size
-        self.weight = np.repeat(unpacked(row["train"]), self.size)
-        self.word_counts = np.bincount(self.cur, weights=self.weight, minlength=len(words)).astype(np.int64)
+        self.train = np.repeat(unpacked(row["train"]).astype(bool), self.size)
+        self.word_counts = np.bincount(self.cur[self.train], minlength=len(words))
         end = at[words.index(END)]
-        self.last = np.r_[end, self.cur[:-1]]  # a text begins in the state of an end
-        self.pairs, self.pair_at = np.unique(mixed(self.hashes[self.last], self.hashes[self.cur]), return_inverse=True)
-        self.pair_counts = np.bincount(self.pair_at, weights=self.weight, minlength=len(self.pairs)).astype(np.int64)
+        self.last = np.r_[end, self.cur[:-1]].astype(np.int32)  # a text begins in the state of an end
+        self.pairs, pair_at = np.unique(mixed(self.hashes[self.last], self.hashes[self.cur]), return_inverse=True)
+        self.pair_at = pair_at.astype(np.int32)
+        self.pair_counts = np.bincount(pair_at[self.train], minlength=len(self.pairs))
 
     def triples(self, shared: np.ndarray) -> None:
         """Makes the triples; shared: of each pair, whether another block holds it. `asked` are those that others may hold."""
         inner = np.ones(len(self.cur), bool)
         inner[self.first] = False  # a text's first word has one word of context
-        self.inner = np.flatnonzero(inner)
-        a, b = self.pair_at[self.inner - 1], self.pair_at[self.inner]
-        self.keys, first, self.triple_at = np.unique(mixed(self.pairs[a], self.pairs[b]), return_index=True, return_inverse=True)
-        self.triple_counts = np.bincount(self.triple_at, weights=self.weight[self.inner], minlength=len(self.keys)).astype(np.int64)
-        self.asked = np.flatnonzero((shared[a] & shared[b])[first])
+        inner = np.flatnonzero(inner)
+        self.keys, first, at = np.unique(mixed(self.pairs[self.pair_at[inner - 1]], self.pairs[self.pair_at[inner]]), return_index=True, return_inverse=True)
+        self.triple_counts = np.bincount(at[self.train[inner]], minlength=len(self.keys))
+        self.triple_at = np.full(len(self.cur), -1, np.int32)
+        self.triple_at[inner] = at
+        first = inner[first]
+        self.asked = np.flatnonzero(shared[self.pair_at[first - 1]] & shared[self.pair_at[first]])
 
 
 def edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -138,32 +149,36 @@ def traverse(b: Block, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, root: np.
     one word or the root; it is a pair's after an arc for a pair or a triple, and a word's after one of the root.
     """
     k1, k2 = prior + share * c1, prior + share * c2
-    with np.errstate(divide="ignore"):
-        arc2 = np.log10((c2[b.pair_at] + k1[b.last] * 10 ** root[b.cur]) / (c1[b.last] + k1[b.last]))
-        arc3 = np.full(len(b.cur), np.nan)
-        n3, context = c3[b.triple_at], b.pair_at[b.inner - 1]
-        arc3[b.inner] = np.where(n3 > 0, np.log10((n3 + k2[context] * 10 ** arc2[b.inner]) / (c2[context] + k2[context])), np.nan)
-    arc2[c2[b.pair_at] == 0] = np.nan
-    fail1, fail2 = np.log10(k1 / (c1 + k1))[b.last], np.zeros(len(b.cur))
-    fail2[b.inner] = np.log10(k2 / (c2 + k2))[context]
-    arc1 = root[b.cur]
+    fail_1, fail_2 = np.log10(k1 / (c1 + k1)), np.log10(k2 / (c2 + k2))
+    c3 = np.r_[c3, 0]  # a text's first word, triple_at -1, ends no triple
     out = np.zeros(len(b.size))
-    for d, (i, n) in enumerate(zip(b.first.tolist(), b.size.tolist(), strict=True)):
-        total, deep = 0.0, False  # deep: the state is a pair's
-        part = slice(i, i + n)
-        for x1, x2, x3, f1, f2 in zip(arc1[part].tolist(), arc2[part].tolist(), arc3[part].tolist(), fail1[part].tolist(), fail2[part].tolist(), strict=True):
-            if deep:
-                if x3 <= 0:  # the pair has an arc for the word; no arc is nan
-                    total += x3
-                    continue
-                total += f2  # failure arc to the last word's state
-            if x2 <= 0:
-                total += x2
-                deep = True
-            else:
-                total += f1 + x1  # failure arc to the root, whose arcs are all words
-                deep = False
-        out[d] = total
+    ends = np.cumsum(b.size)
+    d = 0
+    while d < len(out):  # documents of some 100,000 tokens at once: weights of their arcs, none being nan
+        e = max(d + 1, int(np.searchsorted(ends, b.first[d] + 100_000, "right")))
+        part = slice(int(b.first[d]), int(ends[e - 1]))
+        w, h, pair, context = b.cur[part], b.last[part], b.pair_at[part], np.r_[0, b.pair_at][part]
+        n2, n3 = c2[pair], c3[b.triple_at[part]]
+        arc1, fail1, fail2 = root[w], fail_1[h], fail_2[context]
+        arc2 = np.log10((n2 + k1[h] * 10**arc1) / (c1[h] + k1[h]))
+        arc3 = np.where(n3 > 0, np.log10((n3 + k2[context] * 10**arc2) / (c2[context] + k2[context])), np.nan)
+        steps = zip(*[x.tolist() for x in (arc1, np.where(n2 > 0, arc2, np.nan), arc3, fail1, fail2)], strict=True)
+        for i in range(d, e):
+            total, deep = 0.0, False  # deep: the state is a pair's
+            for x1, x2, x3, f1, f2 in islice(steps, int(b.size[i])):
+                if deep:
+                    if x3 <= 0:  # the pair has an arc for the word
+                        total += x3
+                        continue
+                    total += f2  # failure arc to the last word's state
+                if x2 <= 0:
+                    total += x2
+                    deep = True
+                else:
+                    total += f1 + x1  # failure arc to the root, whose arcs are all words
+                    deep = False
+            out[i] = total
+        d = e
     return out
 
 
@@ -220,7 +235,7 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_
             t = pa.Table.from_batches(held)
             row = packed_texts(t.column("text").to_pylist(), t.column("train").to_pylist())
             sink = pa.BufferOutputStream()
-            rest = t.select(names)
+            rest = t.select(names).combine_chunks()
             with pa.ipc.new_stream(sink, rest.schema) as out:
                 out.write_table(rest)
             return pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int64()), "n": pa.array([size], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in row.items()}, "rest": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
@@ -233,6 +248,7 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_
                 if size >= block_bytes:
                     yield made()
                     held, size, at = [], 0, at + 1
+                    trim()
         if held:
             yield made()
 
@@ -247,18 +263,23 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_
         n = len(some)
         return pa.RecordBatch.from_pydict({"block": pa.array([block] * n, pa.int64()), "bucket": pa.array(some, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "keys": pa.array([pack(p) for p in parts], pa.binary()), "counts": pa.array([packed(counts[p]) for p in parts], pa.binary())})
 
+    # freed arrays would stay with the worker, and workers of other tasks need the room
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 b = Block(row)
                 yield rows_of(row["block"], 1, b.hashes, lambda p, b=b: zlib.compress(b" ".join(b.words[p]), 1), b.word_counts)
                 yield rows_of(row["block"], 2, b.pairs, lambda p, b=b: packed_keys(b.pairs[p]), b.pair_counts)
+                del b
+                trim()
 
     def triples(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         b = Block(row)
         b.triples((_answers(right)[2] & 1).astype(bool))
         keys, counts = b.keys[b.asked], b.triple_counts[b.asked]
+        del b
+        trim()
         return pa.Table.from_batches([rows_of(row["block"], 3, keys, lambda p: packed_keys(keys[p]), counts)])
 
     told = cut(dealt.select(*PARTS).mapInArrow(grams, KEYS).groupBy("kind", "bucket").applyInArrow(_told, TOLD))
@@ -293,6 +314,8 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_
             "base_score": add(root[b.cur]),
             "score": traverse(b, c1, c2, c3, root, prior, share),
         }
+        del b, of, c1, c2, c3, root
+        trim()
         return pa.table({**{n: t.column(n) for n in names}, **cols})
 
     out = dealt.select(*PARTS, "rest").groupBy("block").cogroup(told.where("block >= 0").groupBy("block")).applyInArrow(score, f"{kinds}n_tokens long, n_known long, base_score double, score double")
