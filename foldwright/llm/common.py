@@ -142,8 +142,10 @@ class Aside:
     def back(self, df: DataFrame, made: dict[str, Column | str], without: Sequence[str] = ()) -> DataFrame:
         """The caller's columns under their own names, then those made, which replace a caller's of the same name."""
         gone = {m.lower() for m in made} | {w.lower() for w in without}
-        rest = [F.col(n).alias(c) for n, c in zip(self.names, self.columns, strict=True) if c.lower() not in gone]
-        return df.select(*rest, *[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in made.items()])
+        rest = [(n, c) for n, c in zip(self.names, self.columns, strict=True) if c.lower() not in gone]
+        # names are given last: an alias beside an expression would be seen by it
+        out = df.select(*[F.col(n) for n, _ in rest], *[(F.col(v) if isinstance(v, str) else v).alias(f"m{i}") for i, v in enumerate(made.values())])
+        return out.toDF(*[c for _, c in rest], *made)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
