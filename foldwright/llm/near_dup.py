@@ -1,7 +1,8 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
 Two small collections of half keys, A and B, are made of a document's minhashes; the key of table (i, j) pairs
-A_i with B_j. So m * m tables need 2 * m half keys: about a square root of the minhash work. A pair at the
+A_i with B_j. So m * m tables need 2 * m half keys: about a square root of the minhash work; and of the tables only
+those are made whose two half keys other documents have too. A pair at the
 threshold is missed in all tables with a probability of about 2 * (1 - s ** r) ** m; m is as large as keeps that
 at MISS or less at any threshold (12 for 80 percent, 9 for 85).
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import BROADCAST_ROWS, cut, ship, small_batches, table
+from foldwright.llm.common import BROADCAST_ROWS, cut, release, ship, small_batches, table
 
 ship(__name__)
 
@@ -31,6 +32,8 @@ SHINGLE = 5
 PERCENT = 80
 ROWS, MISS = 2, 2e-5
 SEED = 2024
+#: Pairs of one document whose sets may meet in one key.
+SPLIT = 512
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -121,10 +124,31 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, s array<long>")
 
 
+def tables_of(classes: DataFrame, halves: int) -> DataFrame:
+    """(id, n, a, b) to (id, n, key): a row for each table in which the class may meet another one.
+
+    Table (i, j) can only hold two classes if both A_i and B_j do, so half keys are counted first, 2 * halves for a class
+    rather than halves ** 2, and tables are made of those that other classes have too. None that matters is lost.
+    """
+    half = lambda c, side: F.transform(c, lambda x, i: F.struct((i + side * halves).alias("t"), F.xxhash64(i + side * halves, x).alias("h")))
+    one = classes.select("id", F.explode(F.concat(half("a", 0), half("b", 1))).alias("x")).select("id", "x.t", "x.h")
+    both = one.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    held = one.join(both, "h", "left_semi").groupBy("id").agg(F.collect_list("t").alias("ts"))
+    tables = F.flatten(F.transform(F.filter("ts", lambda t: t < halves), lambda i: F.transform(F.filter("ts", lambda t: t >= halves), lambda j: F.xxhash64(i, j, F.get("a", i), F.get("b", j - halves)))))
+    return classes.join(held, "id").select("id", "n", F.explode(tables).alias("key"))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y) to (x, y, common, either): sizes of intersection and union of the full sets."""
-    x, y = sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), sets.select(F.col("id").alias("y"), F.col("s").alias("sy"))
-    t = pairs.join(x, "x").join(y, "y").withColumn("common", F.size(F.array_intersect("sx", "sy")).cast("long"))
+    """(x, y) to (x, y, common, either): sizes of intersection and union of the full sets.
+
+    A y of many pairs, as the smallest id of a large bucket, is repeated once for each SPLIT of them, and they are
+    dealt out to its copies, so that no key gathers more than about SPLIT sets.
+    """
+    often = pairs.groupBy("y").agg(F.count("*").alias("k")).select("y", F.expr(f"1 + k div {SPLIT}").alias("copies"))
+    dealt = pairs.join(often, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("copies")).alias("copy"))
+    x = sets.select(F.col("id").alias("x"), F.col("s").alias("sx"))
+    y = sets.select(F.col("id").alias("y"), F.col("s").alias("sy")).join(often, "y").select("y", "sy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    t = dealt.join(x, "x").join(y, ["y", "copy"]).withColumn("common", F.size(F.array_intersect("sx", "sy")).cast("long"))
     return t.select("x", "y", "common", (F.size("sx") + F.size("sy") - F.col("common")).alias("either"))
 
 
@@ -180,13 +204,14 @@ def near_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     all_docs = cut(sketches(own, shingle, halves, rows))
     real = all_docs.where("id is not null and n > 0")
     classes = cut(real.groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "a", "b")).alias("r")).select("d1", "d2", "r.id", "r.n", "r.a", "r.b"))
-    tables = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, j, x, y))))
-    keys = classes.select("id", "n", F.explode(tables).alias("key"))
+    keys = cut(tables_of(classes, halves))
+    release(docs.sparkSession)
     full = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
     members = cut(keys.join(full, "key"))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     ids = cut(members.select("id").distinct())
     sets = cut(full_sets(own, ids, shingle))
+    release(docs.sparkSession)
     linked = 100 * F.col("common") >= percent * F.col("either")
 
     first = members.where((F.col("id") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct()

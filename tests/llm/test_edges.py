@@ -286,3 +286,29 @@ def test_no_temporary_checkpoint_folder_on_a_cluster(monkeypatch):
     session = type("Session", (), {"sparkContext": Context, "conf": type("C", (), {"get": staticmethod(lambda k, d=None: None)})})
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         common.checkpoint_dir(session)
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """Recall: 400 pairs of 80 to 85 percent, none of which another pair helps to link, and 400 below."""
+    rng = np.random.default_rng(11)
+    rows, pairs = [], []
+    for i in range(800):
+        words = [f"w{i}x{k}" for k in range(64)]
+        other = list(words)
+        k = (58 if i < 400 else 56) + int(rng.integers(0, 2))  # words before the first changed one; k - 4 of 60 shingles are common
+        other[k:] = [f"v{i}x{j}" for j in range(64 - k)]
+        near = near_dup.Shingler().set_of(" ".join(words)), near_dup.Shingler().set_of(" ".join(other))
+        common_ = len(np.intersect1d(*near))
+        pairs.append(100 * common_ >= 80 * (len(near[0]) + len(near[1]) - common_))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = {r.id: r.component for r in near_dup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 300 < sum(pairs) < 500
+    assert [got[2 * i + 1] == 2 * i for i in range(800)] == pairs
+
+
+def test_a_document_of_many_pairs_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SPLIT", 3)
+    sets = spark.createDataFrame([(i, list(range(i, 20))) for i in range(12)], "id long, s array<long>")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 12)] + [(3, 2)], "x long, y long")
+    got = sorted(tuple(r) for r in near_dup.confirmed(pairs, sets).collect())
+    assert got == sorted([(i, 0, 20 - i, 20) for i in range(1, 12)] + [(3, 2, 17, 18)])
