@@ -9,7 +9,7 @@ at MISS or less at any threshold (12 for 80 percent, 9 for 85).
 Equal sets are one class, whose smallest id stands for it, so copies never meet each other. In a bucket each
 member is first held against the bucket's smallest id alone. Only members that are still in another component
 than some other member of their bucket go on, and of those only pairs that share a shingle rare enough to make
-the similarity possible (prefix and position bounds, which lose no pair). All links are confirmed on full sets.
+the similarity possible (bounds by prefix, position and signature, which lose no pair). All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SHINGLE = 5
 PERCENT = 80
 ROWS, MISS = 2, 2e-5
 SEED = 2024
+#: Bits of a set's signature.
+SIG_BITS = 512
 #: Pairs of one document whose sets may meet in one key.
 SPLIT = 512
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -107,9 +109,15 @@ def sketches(docs: DataFrame, shingle: int, halves: int, rows: int) -> DataFrame
     return docs.mapInArrow(sketch, "id long, n long, d1 long, d2 long, a array<long>, b array<long>")
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    return np.packbits((np.bincount(s & (SIG_BITS - 1), minlength=SIG_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, s) for the ids: whole sets, made anew from the texts rather than kept for every document.
+    """(id, s, sig) for the ids: whole sets, made anew from the texts rather than kept for every document.
 
+    sig has SIG_BITS bits: of how many of the set's shingles fall on a bit, whether they are odd. So two sets differ
+    in as many shingles at least as their bits differ, and no more.
     The ids are broadcast if there are few of them; beyond that both sides are shuffled.
     """
 
@@ -118,10 +126,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             s = [maker.set_of(t).view(np.int64) for t in b.column("text").to_pylist()]
             at = np.cumsum([0, *map(len, s)])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *s])))], names=["id", "s"])
+            sig = np.concatenate([np.empty(0, np.int64), *map(signature, s)])
+            lists = lambda to, x: pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(x))
+            yield pa.RecordBatch.from_arrays([b.column("id"), lists(at, np.concatenate([np.empty(0, np.int64), *s])), lists(np.arange(len(s) + 1) * (SIG_BITS // 64), sig)], names=["id", "s", "sig"])
 
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, s array<long>")
+    return docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, s array<long>, sig array<long>")
 
 
 def tables_of(classes: DataFrame, halves: int) -> DataFrame:
@@ -172,19 +182,26 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, part, s) to the pairs (x, y) of different parts whose sets may be as similar as that; none is lost.
+    """(id, n, part, s, sig) to the pairs (x, y) of different parts whose sets may be as similar as that; none is lost.
 
     A set's shingles are ordered by how few of the sets hold them. Two sets of that similarity have a shingle in
-    common near the beginnings of both, and what lies behind it must suffice for the overlap they need.
+    common near the beginnings of both, and what lies behind it must suffice for the overlap they need. Nor may they
+    differ in more shingles than that overlap leaves, and they do so in one for each bit at least that is not the same
+    in their signatures: of sets just below the threshold hardly a pair is left to be confirmed.
     """
-    one = sets.select("id", "n", "part", F.explode("s").alias("t"))
+    one = sets.select("id", "n", "part", "sig", F.explode("s").alias("t"))
     held = one.groupBy("t").agg(F.count("*").alias("df"))
     w = Window.partitionBy("id").orderBy("df", "t")
     head = one.join(held, "t").withColumn("i", F.row_number().over(w)).where((F.col("df") > 1) & (100 * (F.col("i") - 1) <= (100 - percent) * F.col("n")))
     l, r = head.alias("l"), head.alias("r")
+    size = F.col("l.n") + F.col("r.n")
     behind = 1 + F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i"))
     cond = (F.col("l.t") == F.col("r.t")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.part") != F.col("r.part"))
-    cond &= (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & ((100 + percent) * behind >= percent * (F.col("l.n") + F.col("r.n")))
+    cond &= (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & ((100 + percent) * behind >= percent * size)
+    apart = F.lit(0)
+    for k in range(SIG_BITS // 64):
+        apart = apart + F.bit_count(F.get("l.sig", F.lit(k)).bitwiseXOR(F.get("r.sig", F.lit(k))))
+    cond &= (100 + percent) * apart <= (100 - percent) * size  # size - apart is twice the overlap at most
     return l.join(r, cond).select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct()
 
 
