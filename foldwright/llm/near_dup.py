@@ -189,10 +189,11 @@ def sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
     differ in more shingles than that overlap leaves, and they do so in one for each bit at least that is not the same
     in their signatures: of sets just below the threshold hardly a pair is left to be confirmed.
     """
-    one = sets.select("id", "n", "part", "sig", F.explode("s").alias("t"))
+    one = sets.select("id", "n", "part", F.explode("s").alias("t"))
     held = one.groupBy("t").agg(F.count("*").alias("df"))
     w = Window.partitionBy("id").orderBy("df", "t")
     head = one.join(held, "t").withColumn("i", F.row_number().over(w)).where((F.col("df") > 1) & (100 * (F.col("i") - 1) <= (100 - percent) * F.col("n")))
+    head = head.join(sets.select("id", "sig"), "id")  # few rows are left by now
     l, r = head.alias("l"), head.alias("r")
     size = F.col("l.n") + F.col("r.n")
     behind = 1 + F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i"))
