@@ -34,15 +34,20 @@ def compact_duration(seconds: Column) -> Column:
     return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit("m"), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(h.cast("string"), F.lit("h"), m.cast("string"), F.lit("m")))
 
 
+def plain_number(s: Column) -> Column:
+    """A whole number is the same with and without a fraction of zeros."""
+    return F.regexp_replace(s, r"^([+-]?[0-9]+)\.0+$", "$1")
+
+
 def canonical(pairs: Sequence[tuple[str, Column]]) -> Column:
     """name=value pairs by name, joined by commas; null values are as if absent."""
-    parts = [F.when(c.isNotNull(), F.concat(F.lit(f"{n}="), c.cast("string"))) for n, c in sorted(pairs, key=lambda p: p[0])]
+    parts = [F.when(c.isNotNull(), F.concat(F.lit(f"{n}="), plain_number(c.cast("string")))) for n, c in sorted(pairs, key=lambda p: p[0])]
     return F.concat_ws(",", *parts)
 
 
 def canonical_map(m: Column) -> Column:
     """The same of a map of strings."""
-    return F.array_join(F.array_sort(F.transform(F.map_entries(F.map_filter(m, lambda k, v: v.isNotNull())), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return F.array_join(F.array_sort(F.transform(F.map_entries(F.map_filter(m, lambda k, v: v.isNotNull())), lambda e: F.concat(e["key"], F.lit("="), plain_number(e["value"])))), ",")
 
 
 def partition_ref(k: int, stratified: bool, seed: int) -> str:

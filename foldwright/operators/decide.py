@@ -14,9 +14,12 @@ LOW, HIGH, POINTS = -4.0, 4.0, 41
 
 
 def apply_offsets(probs: DataFrame, offsets: DataFrame, out: str = "label") -> DataFrame:
-    """The class with the highest log(max(p, 1e-12)) + offset; the first class of equals. offsets: class, offset."""
-    j = probs.join(F.broadcast(offsets), "class")  # a row for each class
-    score = F.ln(F.greatest(F.col("p"), F.lit(FLOOR))) + F.col("offset")
+    """The class with the highest log(max(p, 1e-12)) + offset; the first class of equals. offsets: class, offset.
+
+    A class without an offset has 0; uncovered() names such classes where that is an error.
+    """
+    j = probs.join(F.broadcast(offsets), "class", "left")  # offsets: a row for each class
+    score = F.ln(F.greatest(F.col("p"), F.lit(FLOOR))) + F.coalesce(F.col("offset"), F.lit(0.0))
     return j.groupBy("id").agg(F.min(F.struct((-score).alias("s"), F.col("class").alias("c"))).alias("b")).select("id", F.col("b.c").alias(out))
 
 
@@ -25,27 +28,42 @@ def uncovered(probs: DataFrame, offsets: DataFrame) -> DataFrame:
     return probs.select("class").distinct().join(offsets, "class", "left_anti")
 
 
-def tune_offsets(probs: DataFrame, labels: DataFrame, classes: list[str]) -> DataFrame:
-    """One row: offset_<class> and balanced_accuracy. The first class is pinned at 0; nothing beats no offsets on a tie.
+def tune_offsets(probs: DataFrame, labels: DataFrame, classes: list[str], metric: str = "balanced_accuracy") -> DataFrame:
+    """One row: offset_<class> and the metric, accuracy or balanced_accuracy, of the best point of the grid.
 
-    The grid has POINTS ** (classes - 1) points, so there are three classes at most. Rows are scored against all
-    points at once; counts are partial before the shuffle, and only the grid's scores are compared.
+    The first class is pinned at 0; nothing beats no offsets on a tie, and an earlier point beats a later one. For each
+    pair of classes a row tells only how many steps of the grid leave the one ahead of the other. Rows are counted by
+    these numbers, whose combinations are bounded whatever the table, and only the counts meet the grid, which has
+    POINTS ** (classes - 1) points.
     """
-    if not 2 <= len(classes) <= 3:
-        raise ValueError("offsets are tuned for two or three classes")
-    spark = probs.sparkSession
-    step = (HIGH - LOW) / (POINTS - 1)
-    zero = [(0, *[0.0] * (len(classes) - 1))]
-    axis = [LOW + i * step for i in range(POINTS)]
-    pts = [(a,) for a in axis] if len(classes) == 2 else [(a, b) for a in axis for b in axis]
-    grid = spark.createDataFrame(zero + [(i + 1, *p) for i, p in enumerate(pts)], "ord int, " + ", ".join(f"o{k} double" for k in range(1, len(classes))))
-    wide = probs.groupBy("id").agg(*[F.max(F.when(F.col("class") == c, F.col("p"))).alias(f"p{k}") for k, c in enumerate(classes)]).join(labels, "id")
-    s = [F.ln(F.greatest(F.col(f"p{k}"), F.lit(FLOOR))) + (F.lit(0.0) if k == 0 else F.col(f"o{k}")) for k in range(len(classes))]
-    label = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(F.array(*s), F.array_max(F.array(*s))).cast("int"))
-    hits = wide.crossJoin(F.broadcast(grid)).withColumn("ok", (label == F.col("y")).cast("double")).groupBy("ord", "y").agg(F.avg("ok").alias("recall"))
-    score = hits.groupBy("ord").agg(F.round(F.avg("recall"), 12).alias("balanced_accuracy"))
-    best = score.orderBy(F.col("balanced_accuracy").desc(), "ord").limit(1)
-    return best.join(grid, "ord").select(F.lit(0.0).alias(f"offset_{classes[0]}"), *[F.col(f"o{k}").alias(f"offset_{c}") for k, c in enumerate(classes) if k], "balanced_accuracy")
+    if len(classes) < 2:
+        raise ValueError("offsets are tuned for two classes or more")
+    if metric not in ("accuracy", "balanced_accuracy"):
+        raise ValueError(f"offsets are tuned for accuracy or balanced_accuracy, not {metric!r}")
+    k, step = len(classes), (HIGH - LOW) / (POINTS - 1)
+    wide = probs.groupBy("id").agg(*[F.max(F.when(F.col("class") == c, F.col("p"))).alias(f"p{i}") for i, c in enumerate(classes)]).join(labels, "id")
+    log = [F.ln(F.greatest(F.col(f"p{i}"), F.lit(FLOOR))) for i in range(k)]
+    axis = F.array(*[F.lit(LOW + i * step) for i in range(POINTS)])
+    gaps = F.array(*[F.lit(round(i * step, 12)) for i in range(1 - POINTS, POINTS)])
+    # of the pinned class: the points of the other's axis that leave it ahead; of two others: the gaps between theirs that do
+    of_pinned = lambda p: F.size(F.filter(axis, lambda a: p + a <= log[0]))
+    of_others = lambda d: F.size(F.filter(gaps, lambda g: g <= F.round(d, 12)))
+    ahead = {(0, j): of_pinned(log[j]) for j in range(1, k)} | {(i, j): of_others(log[i] - log[j]) for i in range(1, k) for j in range(i + 1, k)}
+    cells = wide.select("y", *[c.alias(f"c{i}_{j}") for (i, j), c in ahead.items()]).groupBy("y", *[f"c{i}_{j}" for i, j in ahead]).agg(F.count("*").alias("n"))
+    d = cells.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(POINTS ** (k - 1)))))
+    at = {j: F.when(F.col("ord") == 0, F.lit((POINTS - 1) // 2)).otherwise(F.expr(f"cast((ord - 1) div {POINTS ** (k - 1 - j)} % {POINTS} as int)")) for j in range(1, k)}
+    leads = {(i, j): (at[j] if i == 0 else at[j] - at[i] + POINTS - 1) < F.col(f"c{i}_{j}") for i, j in ahead}
+    label = F.lit(None)
+    for j in reversed(range(k)):
+        won = F.lit(True)
+        for i in range(k):
+            won = won & (leads[j, i] if j < i else ~leads[i, j]) if i != j else won
+        label = F.when(won, F.lit(classes[j])).otherwise(label)
+    hits = d.groupBy("ord", "y").agg(F.sum(F.when(label == F.col("y"), F.col("n")).otherwise(0)).alias("hit"), F.sum("n").alias("of"))
+    score = F.avg(F.col("hit") / F.col("of")) if metric == "balanced_accuracy" else F.sum("hit") / F.sum("of")
+    best = hits.groupBy("ord").agg(F.round(score, 12).alias(metric)).orderBy(F.col(metric).desc(), "ord").limit(1)
+    offset = lambda j: F.when(F.col("ord") == 0, F.lit(0.0)).otherwise(F.lit(LOW) + at[j] * F.lit(step))
+    return best.select(F.lit(0.0).alias(f"offset_{classes[0]}"), *[offset(j).alias(f"offset_{classes[j]}") for j in range(1, k)], metric)
 
 
 def parse_decide(spec: object, regressor: bool = False) -> float | None:

@@ -24,7 +24,7 @@ def encode_kfold(df: DataFrame, key: str, y: str, id_col: str, m: float = 10.0,
     groups that are only in one fold get the prior.
     """
     df = assign_folds(df, id_col, k, seed, y if stratify else None, "_fold")
-    cell = df.where(F.col(key).isNotNull()).groupBy(key, "_fold").agg(F.sum(F.col(y).cast("double")).alias("_s"), F.count("*").alias("_n"))
+    cell = df.where(F.col(key).isNotNull()).groupBy(key, "_fold").agg(F.coalesce(F.sum(F.col(y).cast("double")), F.lit(0.0)).alias("_s"), F.count(y).alias("_n"))
     w = Window.partitionBy(key)
     rest = cell.select(key, "_fold", (F.sum("_s").over(w) - F.col("_s")).alias("_s"), (F.sum("_n").over(w) - F.col("_n")).alias("_n"))
     j = df.join(rest, [key, "_fold"], "left").crossJoin(F.broadcast(_prior(df, y)))
@@ -33,18 +33,22 @@ def encode_kfold(df: DataFrame, key: str, y: str, id_col: str, m: float = 10.0,
 
 
 def encode_loo(df: DataFrame, key: str, y: str, m: float = 10.0, out: str = "enc") -> DataFrame:
-    """A row gets its group's shrunk mean without the row itself; alone in its group, or without a key, the prior."""
-    g = df.groupBy(key).agg(F.sum(F.col(y).cast("double")).alias("_s"), F.count("*").alias("_n"))
+    """A row gets its group's shrunk mean without the row itself; alone in its group, or without a key, the prior.
+
+    Rows without a label are no part of a mean; they get their group's.
+    """
+    g = df.groupBy(key).agg(F.coalesce(F.sum(F.col(y).cast("double")), F.lit(0.0)).alias("_s"), F.count(y).alias("_n"))
     j = df.join(g, key, "left").crossJoin(F.broadcast(_prior(df, y)))
-    alone = F.coalesce(F.col("_n"), F.lit(0)) <= 1
-    enc = F.when(alone, F.col("prior")).otherwise(shrunk(F.col("_s") - F.col(y).cast("double"), F.col("_n") - 1, F.col("prior"), m))
+    own = F.coalesce(F.col(y).cast("double"), F.lit(0.0))
+    others = F.coalesce(F.col("_n"), F.lit(0)) - F.when(F.col(y).isNull(), 0).otherwise(1)
+    enc = F.when(others <= 0, F.col("prior")).otherwise(shrunk(F.col("_s") - own, others, F.col("prior"), m))
     return j.select(*[F.col(c) for c in df.columns], enc.alias(out))
 
 
 def encode_nonfit(df: DataFrame, fit: Column, key: str, y: str, m: float = 10.0, out: str = "enc") -> DataFrame:
     """Rows that don't fit get their group's shrunk mean over those that do; unseen groups the prior."""
     base = df.where(fit)
-    g = base.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(F.col(y).cast("double")).alias("_s"), F.count("*").alias("_n"))
+    g = base.where(F.col(key).isNotNull()).groupBy(key).agg(F.coalesce(F.sum(F.col(y).cast("double")), F.lit(0.0)).alias("_s"), F.count(y).alias("_n"))
     j = df.where(~fit).join(g, key, "left").crossJoin(F.broadcast(_prior(base, y)))
     enc = F.when(F.col("_n").isNull(), F.col("prior")).otherwise(shrunk(F.col("_s"), F.col("_n"), F.col("prior"), m))
     return j.select(*[F.col(c) for c in df.columns], enc.alias(out))

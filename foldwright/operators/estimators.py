@@ -54,7 +54,7 @@ def estimator(kind: str, params: dict, n: int, y_sd: float = 1.0, n_classes: int
         if kind == "hist_gbm_reg":
             return GBTRegressor(seed=seed, **opts, **cols)
         one = GBTClassifier(seed=seed, **opts, **{k: v for k, v in cols.items() if k != "weightCol" or n_classes == 2})
-        return one if n_classes == 2 else OneVsRest(classifier=one, featuresCol=cols["featuresCol"], labelCol=cols["labelCol"])
+        return one if n_classes == 2 else OneVsRest(classifier=one, **cols)  # hands the weights on to each of its fits
     raise ValueError(f"no estimator for {kind!r}")
 
 
@@ -126,8 +126,8 @@ def predictions(model: Any, df: DataFrame, id_col: str) -> DataFrame:
     return p.groupBy("id").agg(F.min(F.struct((-F.col("p")).alias("s"), "class")).alias("b")).select("id", F.col("b.class").alias("prediction"))
 
 
-def tuned_on_holdout(df: DataFrame, features: list[str], y: str, id_col: str, spec: Any, holdout: float, seed: int = 0) -> DataFrame:
-    """(class, offset): offsets tuned on a stratified slice that an auxiliary fit on the rest has not seen."""
+def tuned_on_holdout(df: DataFrame, features: list[str], y: str, id_col: str, spec: Any, holdout: float, seed: int = 0, metric: str = "balanced_accuracy") -> DataFrame:
+    """(class, offset): offsets tuned for the metric on a stratified slice that an auxiliary fit on the rest has not seen."""
     from foldwright.operators import decide, folds, metrics
 
     k = decide.holdout_folds(holdout)
@@ -137,7 +137,7 @@ def tuned_on_holdout(df: DataFrame, features: list[str], y: str, id_col: str, sp
     model, held = fit(folds.analysis(d, 0, "_tune"), features, y, spec, seed), folds.assessment(d, 0, "_tune")
     classes = classes_of(model)
     truth = held.select(F.col(id_col).alias("id"), F.col(y).cast("string").alias("y"))
-    best = decide.tune_offsets(probabilities(model, held, id_col), truth, classes).first()
+    best = decide.tune_offsets(probabilities(model, held, id_col), truth, classes, metric).first()
     return df.sparkSession.createDataFrame([(c, best[f"offset_{c}"]) for c in classes], "class string, offset double")
 
 

@@ -6,9 +6,11 @@ import hashlib
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwright.operators.ranges import running_total
+
 
 def canonical_hash(value: Any) -> str:
     """sha256 of JSON with sorted keys; numbers that aren't finite are errors."""
@@ -56,11 +58,9 @@ def pool_size(blobs: DataFrame) -> DataFrame:
 def evicted(blobs: DataFrame, max_bytes: int, keep: list[str] | None = None) -> DataFrame:
     """(hash, size, mtime): oldest first, by hash among equals, until the rest fits; none if max_bytes is not above 0.
 
-    One running sum over the pool's index, which is a row for each blob of one store.
+    The running sum goes by ranges of mtime, so no task holds the whole index.
     """
     total = blobs.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     may = blobs.where(~F.col("hash").isin(keep)) if keep else blobs
-    w = Window.partitionBy(F.lit(0)).orderBy("mtime", "hash")
-    prior = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    out = may.withColumn("_prior", prior).crossJoin(F.broadcast(total)).where((F.col("total") - F.col("_prior") > max_bytes) & F.lit(max_bytes > 0))
+    out = running_total(may, F.col("size"), [F.col("mtime"), F.col("hash")], "_with").withColumn("_prior", F.col("_with") - F.col("size")).crossJoin(F.broadcast(total)).where((F.col("total") - F.col("_prior") > max_bytes) & F.lit(max_bytes > 0))
     return out.select(*blobs.columns)

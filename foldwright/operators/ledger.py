@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.functions.scalars import canonical_map
+from foldwright.operators.ranges import ranked
 
 
 def append(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -63,9 +64,12 @@ def top(df: DataFrame, metric: str, n: int, direction: str = "maximize") -> Data
 
 def ranked_all(df: DataFrame, metric: str, direction: str = "maximize", out: str = "place") -> DataFrame:
     """Places: rows that qualify by the metric, then all others in append order. For display; no row goes."""
-    ok = qualified(metric)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.when(ok, 0).otherwise(1), F.when(ok, _key(metric, direction)), "append_ord")
-    return df.withColumn(out, F.row_number().over(w))
+    ok = F.coalesce(qualified(metric), F.lit(False))
+    first = ranked(df.where(ok), [_key(metric, direction), F.col("append_ord")], out)
+    rest = ranked(df.where(~ok), [F.col("append_ord")], out)
+    n = df.agg(F.count_if(ok).alias("_n"))  # one row
+    rest = rest.crossJoin(F.broadcast(n)).withColumn(out, F.col(out) + F.col("_n")).drop("_n")
+    return first.unionByName(rest).withColumn(out, F.col(out).cast("int"))
 
 
 def of_level(df: DataFrame, outer: bool) -> DataFrame:
@@ -100,7 +104,10 @@ def cohort_count(df: DataFrame) -> DataFrame:
 
 
 def cohort_summary(df: DataFrame, records: DataFrame) -> DataFrame:
-    """records: point_addr, started, finished, commit, dirty. By last finish, then fingerprint."""
+    """records: point_addr, started, finished, commit, and perhaps dirty and record_status.
+
+    Commit, dirty and record_status are those of the record that finished last, of equals the one appended last.
+    """
     j = df.join(records, "point_addr", "left")
     last = F.struct("finished", "append_ord")
     found = F.when(F.col("finished").isNotNull(), last)
@@ -113,6 +120,7 @@ def cohort_summary(df: DataFrame, records: DataFrame) -> DataFrame:
         F.max_by("commit", found).alias("commit"),
         F.greatest(F.count_distinct("commit") - 1, F.lit(0)).alias("more_commits"),
         F.count("finished").alias("records"),
+        *[F.max_by(c, found).alias(c) for c in ("dirty", "record_status") if c in records.columns],
     )
 
 

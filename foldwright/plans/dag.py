@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foldwright.functions.lineage import settled
 
 USES = re.compile(r"[a-z0-9][a-z0-9-]*(/[a-z0-9][a-z0-9-]*)+")
 
@@ -56,14 +59,32 @@ def rewired(step: dict, dropped: set[str], added: str) -> dict:
 
 
 def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(child, parent) to all (child, ancestor), by a recursive query."""
-    return spark.sql("with recursive up(child, ancestor) as (select child, parent from {e} union all select u.child, e.parent from up u join {e} e on e.child = u.ancestor) select distinct child, ancestor from up", e=edges)
+    """(child, parent) to all (child, ancestor), cycles or not.
+
+    Ways are doubled each round, so a chain takes as many rounds as its length has binary digits, and only pairs that
+    are new go on.
+    """
+    known = new = settled(edges.select("child", F.col("parent").alias("ancestor")).distinct())
+    while not new.isEmpty():
+        a, b = new.alias("a"), known.alias("b")
+        on = lambda x, y: x.join(y, F.col("a.ancestor") == F.col("b.child")).select(F.col("a.child").alias("child"), F.col("b.ancestor").alias("ancestor"))
+        longer = on(a, b).unionByName(on(known.alias("a"), new.alias("b"))).distinct()
+        new = settled(longer.join(known, ["child", "ancestor"], "left_anti"))
+        known = settled(known.unionByName(new))
+    return known
 
 
 def levels(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, level): the longest way up to a node without parents, which has level 0. Edges have no cycle."""
-    return spark.sql(
-        "with recursive l(node, level) as (select distinct parent, 0 from {e} where parent not in (select child from {e}) union all select e.child, l.level + 1 from l join {e} e on e.parent = l.node) "
-        "select node, max(level) as level from l group by node",
-        e=edges,
-    )
+    """(node, level): the longest way up to a node without parents, which has level 0. A cycle is an error."""
+    ways = settled(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("n")).distinct())
+    ends = edges.select(F.col("child").alias("node")).union(edges.select("parent"))
+    most, size = ends.distinct().count(), None
+    while (now := tuple(ways.agg(F.count("*"), F.sum("n"), F.max("n")).first())) != size:
+        if (now[2] or 0) >= max(most, 1):
+            raise GraphError("the edges have a cycle")
+        size = now
+        a, b = ways.alias("a"), ways.alias("b")
+        twice = a.join(b, F.col("a.ancestor") == F.col("b.child")).select(F.col("a.child").alias("child"), F.col("b.ancestor").alias("ancestor"), (F.col("a.n") + F.col("b.n")).alias("n"))
+        ways = settled(ways.unionByName(twice).groupBy("child", "ancestor").agg(F.max("n").alias("n")))
+    top = ways.groupBy(F.col("child").alias("node")).agg(F.max("n").alias("level"))
+    return ends.distinct().join(top, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))

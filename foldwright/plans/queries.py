@@ -258,13 +258,13 @@ def ledger_wide(spark, d):
 
 
 @query(
-    "select code_fingerprint, count(*) as rows, count(*) filter (event_type = 'click') as inner_rows, count(*) filter (event_type = 'view') as outer_rows, min(ts) as first_start, max(ts) as last_finish from (select 'u' || cast(user_id % 7 as varchar) as code_fingerprint, event_type, ts from events) group by 1"
+    "select code_fingerprint, count(*) as rows, count(*) filter (event_type = 'click') as inner_rows, count(*) filter (event_type = 'view') as outer_rows, min(ts) as first_start, max(ts) as last_finish, max_by(event_type, event_id) filter (ts = last) as record_status, (max(event_id) filter (ts = last)) % 2 = 0 as dirty, 'c' || cast((max(event_id) filter (ts = last)) % 5 as varchar) as commit, count(distinct event_id % 5) - 1 as more_commits, count(*) as records from (select *, max(ts) over (partition by code_fingerprint) as last from (select event_id, 'u' || cast(user_id % 7 as varchar) as code_fingerprint, event_type, ts from events)) group by 1"
 )
 def cohort_summary(spark, d):
     e = t(spark, d, "events")
     rows = e.select(F.col("event_id").cast("string").alias("point_addr"), F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("code_fingerprint"), F.when(F.col("event_type") == "click", "inner").when(F.col("event_type") == "view", "outer").alias("level"), F.col("event_id").alias("append_ord"))
-    records = e.select(F.col("event_id").cast("string").alias("point_addr"), F.col("ts").alias("started"), F.col("ts").alias("finished"), F.lit("c").alias("commit"))
-    return ledger.cohort_summary(rows, records).select("code_fingerprint", "rows", "inner_rows", "outer_rows", "first_start", "last_finish")
+    records = e.select(F.col("event_id").cast("string").alias("point_addr"), F.col("ts").alias("started"), F.col("ts").alias("finished"), F.concat(F.lit("c"), (F.col("event_id") % 5).cast("string")).alias("commit"), (F.col("event_id") % 2 == 0).alias("dirty"), F.col("event_type").alias("record_status"))
+    return ledger.cohort_summary(rows, records).select("code_fingerprint", "rows", "inner_rows", "outer_rows", "first_start", "last_finish", "commit", "more_commits", "records", "dirty", "record_status")
 
 
 @query(LEDGER + "select count(distinct code_fingerprint) as cohorts from led where code_fingerprint <> ''")
@@ -479,14 +479,23 @@ def blend_soft_vote(spark, d):
     return decide.blend([_probs(spark, d, 31), _probs(spark, d, 57)], [1.0, 3.0])
 
 
-@query(
-    PROB.format(a=31) + ", w as (select id, max(p) filter (class = 'F') as f, max(p) filter (class = 'O') as o, any_value(y) as y from p where y <> 'P' group by id), g as (select 0 as ord, 0.0::double as c union all select i + 1, -4.0::double + i * 0.2::double from range(41) r(i)), "
-    "h as (select ord, y, avg(case when y = case when ln(greatest(f, 1e-12)) >= ln(greatest(o, 1e-12)) + c then 'F' else 'O' end then 1.0::double else 0.0::double end) as r from w, g group by all), b as (select ord, round(avg(r), 12) as balanced_accuracy from h group by ord order by 2 desc, ord limit 1) "
-    'select 0.0::double as "offset_F", round(c, 9) as "offset_O", round(balanced_accuracy, 9) as balanced_accuracy from b join g using (ord)'
+TUNE = (
+    PROB.format(a=31) + ", w as (select id, ln(greatest(max(p) filter (class = 'F'), 1e-12)) as f, ln(greatest(max(p) filter (class = 'O'), 1e-12)) as o, ln(greatest(max(p) filter (class = 'P'), 1e-12)) as q, any_value(y) as y from p group by id), "
+    "g as (select 0 as ord, 0.0::double as a, 0.0::double as b union all select 1 + i * 41 + j, -4.0::double + i * 0.2::double, -4.0::double + j * 0.2::double from range(41) r(i), range(41) s(j)), "
+    "h as (select ord, y, avg(case when y = case when f >= o + a and f >= q + b then 'F' when o + a >= q + b then 'O' else 'P' end then 1.0::double else 0.0::double end) as r, count(*) as n from w, g group by all), "
 )
+
+
+@query(TUNE + """b as (select ord, round(avg(r), 12) as s from h group by ord order by 2 desc, ord limit 1) select 0.0::double as "offset_F", round(a, 9) as "offset_O", round(b, 9) as "offset_P", round(s, 9) as balanced_accuracy from b t join g using (ord)""".replace("round(b, 9)", "round(g.b, 9)"))
 def offset_tune(spark, d):
-    y = t(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("y"))
-    return rounded(decide.tune_offsets(_probs(spark, d, 31), y, ["F", "O"]), "offset_O", "balanced_accuracy")
+    y = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("y"))
+    return rounded(decide.tune_offsets(_probs(spark, d, 31), y, ["F", "O", "P"]), "offset_O", "offset_P", "balanced_accuracy")
+
+
+@query(TUNE + """b as (select ord, round(sum(r * n) / sum(n), 12) as s from h group by ord order by 2 desc, ord limit 1) select 0.0::double as "offset_F", round(g.a, 9) as "offset_O", round(g.b, 9) as "offset_P", round(s, 9) as accuracy from b t join g using (ord)""")
+def offset_tune_accuracy(spark, d):
+    y = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("y"))
+    return rounded(decide.tune_offsets(_probs(spark, d, 31), y, ["F", "O", "P"], "accuracy"), "offset_O", "offset_P", "accuracy")
 
 
 @query(PROB.format(a=31) + "select id, class from p where id % 10 = 0")

@@ -14,15 +14,15 @@ def picked(df):
 
 
 def test_rules_on_known_numbers(spark):
-    s = stats(spark, [(0.844, 0.0, 5, 40.0), (0.834, 0.0, 5, 16.0), (0.830, 0.0, 5, 16.0)])
+    s = stats(spark, [(0.92, 0.0, 5, 31.0), (0.912, 0.0, 5, 9.0), (0.905, 0.0, 5, 9.0)])
     assert picked(select.pct_loss(s, 0.02)) == [1]
     assert picked(select.argmax_mean(s)) == [0]
-    s = stats(spark, [(0.85, 0.005, 5, 40.0), (0.844, 0.005, 5, 16.0)])
+    s = stats(spark, [(0.61, 0.004, 5, 22.0), (0.603, 0.004, 5, 8.0)])
     assert picked(select.one_std_err(s)) == [0]
-    s = stats(spark, [(0.85, 0.02, 5, 1.0), (0.84, 0.0, 5, 1.0)])
+    s = stats(spark, [(0.7, 0.03, 5, 1.0), (0.69, 0.0, 5, 1.0)])
     assert picked(select.mean_std(s)) == [1]
-    assert picked(select.parsimony(stats(spark, [(0.8, 0.0, 5, 15.0), (0.9, 0.0, 5, 16.0)]), "maximize")) == [1]
-    assert picked(select.parsimony(stats(spark, [(0.8, 0.0, 5, 10.0), (0.9, 0.0, 5, 16.0)]), "maximize")) == [0]
+    assert picked(select.parsimony(stats(spark, [(0.5, 0.0, 5, 20.0), (0.6, 0.0, 5, 21.5)]), "maximize")) == [1]
+    assert picked(select.parsimony(stats(spark, [(0.5, 0.0, 5, 20.0), (0.6, 0.0, 5, 25.0)]), "maximize")) == [0]
 
 
 def test_folds_cover_and_balance(spark):
