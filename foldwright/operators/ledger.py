@@ -6,7 +6,7 @@ metrics (map of doubles), append_ord.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldwright.functions.scalars import canonical_map
@@ -31,6 +31,41 @@ def wide(df: DataFrame, params: list[str], metrics: list[str]) -> DataFrame:
     return df.select(*fixed, *[F.col("free_params")[p].alias(f"fp.{p}") for p in sorted(params)], *[F.col("metrics")[m].alias(f"metric.{m}") for m in sorted(metrics)])
 
 
+def names_of(df: DataFrame, map_col: str) -> list[str]:
+    """The names that a ledger's maps hold, in order: as many as a document's parameters or a step's scores."""
+    return [r.key for r in union_keys(df, map_col).orderBy("key").collect()]
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """The CSV form in append order; what a row lacks is blank, and a fixed column that no row has is left out."""
+    w = wide(df.orderBy("append_ord"), names_of(df, "free_params"), names_of(df, "metrics"))
+    maybe = [c for c in ("level", "fold", "outer_fold", "stopped") if c in w.columns]
+    has = w.agg(*[F.count(F.when(F.col(c).cast("string") != "", 1)).alias(c) for c in maybe]).first() if maybe else {}
+    gone = [c for c in maybe if not has[c]]
+    # parts follow one another in append order; a quote within a cell is doubled, as in any CSV
+    w.drop(*gone).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What write_csv wrote: blank cells are keys that are absent, and append_ord is the order of the rows."""
+    cells = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    of = lambda head: [c for c in cells.columns if c.startswith(head)]
+    cell = lambda c: F.col(f"`{c}`")
+
+    def filled(head: str, kind: str):
+        pairs = [F.struct(F.lit(c.removeprefix(head)).alias("k"), cell(c).try_cast(kind).alias("v")) for c in of(head)]
+        return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["v"].isNotNull())) if pairs else F.create_map().cast(f"map<string,{kind}>")
+
+    fixed = {"code_fingerprint": "string", "point_addr": "string", "status": "string", "level": "string", "fold": "int", "outer_fold": "int", "stopped": "string"}
+    read = [(cell(c).try_cast(kind) if c in cells.columns else F.lit(None).cast(kind)).alias(c) for c, kind in fixed.items()]
+    # parts are numbered in order, and a part that may hold line ends within cells is read by one task
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("int"), F.lit(0))
+    place = [part.alias("_part"), F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_line")]
+    rows = cells.select(*read, filled("fp.", "string").alias("free_params"), filled("metric.", "double").alias("metrics"), *place)
+    placed = ranked(rows, [F.col(c) for c in ("_part", "_file", "_line")], "append_ord")
+    return placed.withColumn("append_ord", F.col("append_ord") - 1).drop("_part", "_file", "_line")
+
+
 def cell_kind(s: Column) -> Column:
     """bool, json, int, float or string, tried in that order; null for a blank cell."""
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,16 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, where driver and executors both reach it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        root = tempfile.mkdtemp(prefix="foldwright-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in cols})
 
@@ -99,6 +111,15 @@ def target_encode_loo(spark, d):
     return rounded(encode.encode_loo(_encoded_orders(spark, d), "o_orderpriority", "y").select("o_orderkey", "enc"), "enc")
 
 
+@query(
+    "with y as (select o_orderkey, o_orderpriority, md5('7:' || cast(o_orderkey as varchar)) as h, case when o_orderstatus = 'F' then 1.0::double else 0.0::double end as y from orders), p as (select avg(y) as prior from y), "
+    "w as (select *, sum(y) over (partition by o_orderpriority) as s, count(*) over (partition by o_orderpriority) as n, (cast('0x' || h[1:12] as bigint) + 1) / 281474976710657.0::double as u, (cast('0x' || h[13:24] as bigint) + 1) / 281474976710657.0::double as v from y) "
+    "select o_orderkey, round(case when n <= 1 then prior else (s - y + 10 * prior) / (n - 1 + 10) end + 0.01::double * sqrt(-2 * ln(u)) * cos(2 * pi() * v), 9) as enc from w, p"
+)
+def target_encode_loo_noise(spark, d):
+    return rounded(encode.encode_loo(_encoded_orders(spark, d), "o_orderpriority", "y", noise=0.01, seed=7, id_col="o_orderkey").select("o_orderkey", "enc"), "enc")
+
+
 @query(
     "with j as (select d.doc_id, d.source, l.quality from documents d left join labels l using (doc_id)), p as (select avg(cast(quality as double)) as prior from j where quality is not null), g as (select source, sum(quality) as s, count(*) as n from j where quality is not null and source is not null group by 1) "
     "select doc_id, round(case when n is null then prior else (s + 10 * prior) / (n + 10) end, 9) as enc from j left join g using (source), p where quality is null"
@@ -257,6 +278,14 @@ def ledger_wide(spark, d):
     return ledger.wide(_ledger(spark, d), ["n", "family"], ["score", "complexity"])
 
 
+@query(LEDGER + "select code_fingerprint, point_addr, status, level, fold, family, cast(ln as varchar) as ln, score, complexity, row_number() over (order by append_ord) - 1 as append_ord from led")
+def ledger_csv_roundtrip(spark, d):
+    path = work_folder(spark, "ledger_csv")
+    ledger.write_csv(_ledger(spark, d), path)
+    back = ledger.read_csv(spark, path)
+    return back.select("code_fingerprint", "point_addr", "status", "level", "fold", F.col("free_params.family").alias("family"), F.col("free_params.n").alias("ln"), F.col("metrics.score").alias("score"), F.col("metrics.complexity").alias("complexity"), "append_ord")
+
+
 @query(
     "select code_fingerprint, count(*) as rows, count(*) filter (event_type = 'click') as inner_rows, count(*) filter (event_type = 'view') as outer_rows, min(ts) as first_start, max(ts) as last_finish, max_by(event_type, event_id) filter (ts = last) as record_status, (max(event_id) filter (ts = last)) % 2 = 0 as dirty, 'c' || cast((max(event_id) filter (ts = last)) % 5 as varchar) as commit, count(distinct event_id % 5) - 1 as more_commits, count(*) as records from (select *, max(ts) over (partition by code_fingerprint) as last from (select event_id, 'u' || cast(user_id % 7 as varchar) as code_fingerprint, event_type, ts from events)) group by 1"
 )
