@@ -44,7 +44,7 @@ def estimator(kind: str, params: dict, n: int, y_sd: float = 1.0, n_classes: int
         return LinearRegression(solver="normal", standardization=False, regParam=float(params.get("alpha", 1.0)) * y_sd / n, **cols)
     if kind in ("rf", "rf_reg"):
         of = RandomForestClassifier if kind == "rf" else RandomForestRegressor
-        return of(numTrees=int(params.get("n_estimators", 100)), maxDepth=depth(params.get("max_depth")), seed=seed, **cols)
+        return of(numTrees=int(params.get("n_estimators", 100)), maxDepth=depth(params.get("max_depth")), bootstrap=bool(params.get("bootstrap", True)), seed=seed, **cols)
     if kind in ("hist_gbm", "hist_gbm_reg", "catboost"):
         if kind == "catboost":
             opts = {"maxIter": int(params.get("iterations", 100)), "maxDepth": depth(params.get("depth", 6)), "stepSize": float(params.get("learning_rate", 0.1))}
