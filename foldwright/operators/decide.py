@@ -91,20 +91,23 @@ def weights_of(weights: list[float] | None, n: int) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def blend(members: list[DataFrame], weights: list[float] | None = None, offsets: DataFrame | None = None) -> DataFrame:
+def blend(members: list[DataFrame], weights: list[float] | None = None, offsets: list[DataFrame | None] | None = None) -> DataFrame:
     """id, label: the class with the highest weighted sum of log(max(p, 1e-12)) + offset over members (id, class, p).
 
-    Ids and classes must be the same in all members.
+    Ids and classes must be the same in all members. Each member has offsets (class, offset) of its own, or none.
     """
+    if offsets is not None and len(offsets) != len(members):
+        raise ValueError("a blend has offsets, or None, for each member")
     w = weights_of(weights, len(members))
     all_of = None
     for i, m in enumerate(members):
         part = m.select("id", "class", "p", F.lit(w[i]).alias("w"))
+        own = offsets[i] if offsets else None
+        if own is None:
+            part = part.withColumn("offset", F.lit(0.0))
+        else:  # a row for each class
+            part = part.join(F.broadcast(own), "class", "left").select("id", "class", "p", "w", F.coalesce("offset", F.lit(0.0)).alias("offset"))
         all_of = part if all_of is None else all_of.unionByName(part)
-    if offsets is not None:
-        all_of = all_of.join(F.broadcast(offsets), "class", "left").withColumn("offset", F.coalesce("offset", F.lit(0.0)))
-    else:
-        all_of = all_of.withColumn("offset", F.lit(0.0))
     sums = all_of.groupBy("id", "class").agg(F.sum(F.col("w") * (F.ln(F.greatest(F.col("p"), F.lit(FLOOR))) + F.col("offset"))).alias("s"), F.count("*").alias("n"))
     return sums.groupBy("id").agg(F.min(F.struct((-F.round("s", 12)).alias("s"), "class")).alias("b")).select("id", F.col("b.class").alias("label"))
 

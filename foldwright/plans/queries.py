@@ -508,6 +508,15 @@ def blend_soft_vote(spark, d):
     return decide.blend([_probs(spark, d, 31), _probs(spark, d, 57)], [1.0, 3.0])
 
 
+TILTED = ", o as (select unnest(['F', 'O', 'P']) as class, unnest([0.0::double, 0.31::double, -0.17::double]) as o), s as (select id, class, round(sum(w * (ln(greatest(p, 1e-12)) + case when w < 0.5 then o else 0 end)), 12) as s from m join o using (class) group by all) select id, class as label from s qualify row_number() over (partition by id order by s desc, class) = 1"
+
+
+@query("with m as (" + PROB.format(a=31).replace("with p as (", "select *, 0.25::double as w from (").rstrip() + " union all " + PROB.format(a=57).replace("with p as (", "select *, 0.75::double as w from (").rstrip() + ")" + TILTED)
+def blend_offsets(spark, d):
+    offsets = spark.createDataFrame([("F", 0.0), ("O", 0.31), ("P", -0.17)], "class string, offset double")
+    return decide.blend([_probs(spark, d, 31), _probs(spark, d, 57)], [1.0, 3.0], [offsets, None])
+
+
 TUNE = (
     PROB.format(a=31) + ", w as (select id, ln(greatest(max(p) filter (class = 'F'), 1e-12)) as f, ln(greatest(max(p) filter (class = 'O'), 1e-12)) as o, ln(greatest(max(p) filter (class = 'P'), 1e-12)) as q, any_value(y) as y from p group by id), "
     "g as (select 0 as ord, 0.0::double as a, 0.0::double as b union all select 1 + i * 41 + j, -4.0::double + i * 0.2::double, -4.0::double + j * 0.2::double from range(41) r(i), range(41) s(j)), "
@@ -641,7 +650,7 @@ def _years(spark: SparkSession, d: str) -> DataFrame:
     o = t(spark, d, "orders")
     g = F.year(F.to_date("o_orderdate"))
     turned = F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), g % 3 + 1)
-    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 10 < 6, turned).otherwise(F.col("o_orderstatus")).alias("y"), g.alias("g"), (F.col("o_totalprice") / F.lit(1e5)).alias("f0"))
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 10 < 6, turned).otherwise(F.col("o_orderstatus")).alias("y"), g.alias("g"), ((g - 1995) / F.lit(10.0)).alias("f1"), (F.col("o_totalprice") / F.lit(1e5)).alias("f0"))
 
 
 RATES = "r as (select g, c.class, cast(count(*) filter (y = c.class) as double) / count(*) as p from d, (select distinct y as class from d) c group by all) "
@@ -721,13 +730,13 @@ def nested_cv_trees(spark, d):
 
 @query()
 def nested_cv_logreg(spark, d):
-    _, est = nested.nested_cv(_years(spark, d), ["g", "f0"], "y", "o_orderkey", [("logreg", {"logreg": {"C": c, "max_iter": 20}}) for c in (0.1, 1.0)], 2, "accuracy", stratify="y")
+    _, est = nested.nested_cv(_years(spark, d), ["f1", "f0"], "y", "o_orderkey", [("logreg", {"logreg": {"C": c, "max_iter": 20}}) for c in (0.1, 1.0)], 2, "accuracy", stratify="y")
     return est
 
 
 @query()
 def offsets_on_holdout(spark, d):
-    return estimators.tuned_on_holdout(_years(spark, d), ["g", "f0"], "y", "o_orderkey", {"logreg": {"max_iter": 20}}, 0.2)
+    return estimators.tuned_on_holdout(_years(spark, d), ["f1", "f0"], "y", "o_orderkey", {"logreg": {"max_iter": 20}}, 0.2)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ family and small documents come to the driver. Everything is read and written by
 
 from __future__ import annotations
 
+import hashlib
 import inspect
 import json
 import os
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from foldwright.operators import decide, estimators, folds, identity, ledger, metrics, reduce, select, space
 from foldwright.plans import documents, nested
+from foldwright.plans.control import Control
 from foldwright.plans.dag import topo_sort, validate
 from foldwright.sources import dataset as data
 
@@ -53,6 +55,10 @@ class Context:
             return found.dataset
         return data.load_dataset(self.spark, ref if "://" in ref else os.path.normpath(os.path.join(self.root, ref)))
 
+    def folder(self, step: str) -> str:
+        """Where a step of the same run leaves its files."""
+        return f"{os.path.dirname(self.out)}/{step}"
+
     def of(self, step: str, what: str) -> Any:
         found = getattr(self.outputs.get(step), what, None)
         if found is None:
@@ -181,20 +187,39 @@ def _predict(ctx: Context, w: dict) -> Output:
     return Output({"n_predictions": float(frame.count()), "has_offsets": float(offsets is not None)})
 
 
+def code_files() -> dict[str, str]:
+    """sha256 of the sources that results come from: this module, what it uses of the package, and registered steps."""
+    found: dict[str, Any] = {}
+    todo = [inspect.getmodule(code_files)]
+    while todo:
+        m = todo.pop()
+        if m.__name__ not in found:
+            found[m.__name__] = m
+            used = (v if inspect.ismodule(v) else inspect.getmodule(v) for v in vars(m).values() if inspect.ismodule(v) or inspect.isfunction(v) or inspect.isclass(v))
+            todo += [u for u in used if u is not None and u.__name__.startswith("foldwright.")]
+    return {n: hashlib.sha256(inspect.getsource(x).encode()).hexdigest() for n, x in [*found.items(), *STEPS.items()]}
+
+
 def code_fingerprint() -> str:
-    """One hash of the sources that results come from: built-in modules and registered steps."""
-    modules = [decide, estimators, folds, metrics, nested, reduce, select, inspect.getmodule(_train)]
-    sources = {m.__name__: inspect.getsource(m) for m in modules}
-    sources |= {u: inspect.getsource(f) for u, f in STEPS.items()}
-    return identity.canonical_hash(sources)
+    return identity.canonical_hash(code_files())
+
 
+def changed_code(spark: SparkSession, out: str, fingerprint: str) -> list[str]:
+    """What differs between the code that made rows and the code as it is: module and state, by name."""
+    path = f"{out}/code/{fingerprint}.json"
+    if not data.exists(spark, path):
+        return ["(its files were not recorded)"]
+    of = lambda d: spark.createDataFrame([("code", n, h) for n, h in d.items()], "repo string, path string, hash string")
+    gone = identity.drift(of(json.loads(data.read_text(spark, path))), of(code_files()))
+    return [f"{r.path} {r.state}" for r in gone.orderBy("path").collect()]  # a row for each module
 
-def run_steps(spark: SparkSession, steps: list[dict], seed: int, root: str, out: str) -> dict:
+
+def run_steps(spark: SparkSession, steps: list[dict], seed: int, root: str, out: str, experiment: str = "") -> dict:
     """Runs a validated graph; the record is written whatever happens, and the first failure stops the run."""
     order = topo_sort(steps)
     done: dict[str, Output] = {}
     address = identity.point_address({s["id"]: s.get("with") or {} for s in steps}, identity.canonical_hash([(s["id"], s["uses"]) for s in steps]), seed)
-    record: dict[str, Any] = {"run_id": address[:12], "seed": seed, "point_address": address, "code_fingerprint": code_fingerprint(), "steps": [], "status": "ok", "started": _now()}
+    record: dict[str, Any] = {"run_id": address[:12], "experiment": experiment, "seed": seed, "point_address": address, "code_fingerprint": code_fingerprint(), "steps": [], "status": "ok", "started": _now()}
     failure = None
     for i, s in enumerate(order):
         here = f"{out}/{address[:12]}/{s['id']}"
@@ -226,7 +251,7 @@ def _now() -> str:
 def run_experiment(spark: SparkSession, path: str, out: str) -> dict:
     e = documents.parse_experiment(data.read_text(spark, path))
     validate(e.steps)
-    return run_steps(spark, e.steps, e.seed, os.path.dirname(path), out)
+    return run_steps(spark, e.steps, e.seed, os.path.dirname(path), out, os.path.basename(path))
 
 
 @dataclass(frozen=True)
@@ -275,11 +300,39 @@ def read_ledger(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path) if data.exists(spark, path) else spark.createDataFrame([], LEDGER)
 
 
-def run_shape(spark: SparkSession, path: str, out: str, sample: str = "", auto_stop: bool = False) -> DataFrame:
+def digest(df: DataFrame) -> str:
+    """Tells tables apart by their columns and by the multiset of their rows, in one scan."""
+    r = df.agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(i), *[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")).alias(f"s{i}") for i in (0, 1)]).first()
+    return identity.canonical_hash([df.dtypes, r.n, str(r.s0), str(r.s1)])
+
+
+KNOWN = "base string, key string, score double, complexity double"
+
+
+def known_scores(spark: SparkSession, out: str, base: list) -> nested.Scores:
+    """Scores that earlier runs in this folder made from the same data, code and settings: a row for each fit."""
+    name, path = identity.canonical_hash(base), f"{out}/scores.parquet"
+    rows = spark.read.schema(KNOWN).parquet(path).where(F.col("base") == name).collect() if data.exists(spark, path) else []
+    return nested.Scores(name, {r.key: (r.score, r.complexity) for r in rows})
+
+
+def keep_scores(spark: SparkSession, out: str, scores: nested.Scores) -> None:
+    if scores.added:
+        spark.createDataFrame([(scores.base, k, *v) for k, v in scores.added.items()], KNOWN).coalesce(1).write.mode("append").parquet(f"{out}/scores.parquet")
+
+
+def request_stop(spark: SparkSession, out: str) -> None:
+    """Asks the sweep that runs in this folder to end; it keeps the outer folds that are done, and all scores."""
+    data.write_text(spark, f"{out}/STOP", "")
+
+
+def run_shape(spark: SparkSession, path: str, out: str, sample: str = "", auto_stop: bool = False, parallel: int = 4) -> DataFrame:
     """mean, se, n: the honest estimate of the sweep. Its rows are appended to the ledger, none of them twice.
 
-    Several configurations are nested, one is cross-validated flat. The data phase runs once, before any fold.
+    Several configurations are nested, one is cross-validated flat. The data phase runs once, before any fold. What
+    an earlier run has fitted, on the same data with the same code, is not fitted again, however that run ended.
     """
+    data.remove(spark, f"{out}/STOP")
     sweep = Sweep.of(data.read_text(spark, path))
     shape, root = sweep.shape, os.path.dirname(path)
     made: dict[str, Output] = {}
@@ -295,18 +348,27 @@ def run_shape(spark: SparkSession, path: str, out: str, sample: str = "", auto_s
     stratify = c.y if shape.stratify else None
     first = sample_of(sample)
     old = read_ledger(spark, out)
-    if documents.resample_mode(len(withs)) == "nested":
-        best = incumbent_of(old, shape) if auto_stop else None
-        configs = [(f, w["model"], w.get("decide")) for (f, _, _), w in zip(sweep.points, withs, strict=True)]
-        rows, est = nested.nested_cv(ds.train, c.features, c.y, c.id, configs, shape.k, metric, shape.inner_k, shape.rule, stratify, shape.seed, first, best, **shape.options)
-    else:
-        flat = nested.flat_cv(ds.train, c.features, c.y, c.id, withs[0]["model"], shape.k, metric, stratify, shape.seed, withs[0].get("decide"), first[0])
-        rows = flat.select(F.lit("").alias("level"), F.lit(sweep.points[0][0]).alias("family"), F.lit(0).alias("ord"), F.lit(None).cast("int").alias("outer_fold"), "fold", "score", "complexity", F.lit(None).cast("string").alias("stopped"))
-        est = flat.agg(F.avg("score").alias("mean"), reduce.standard_error("score").alias("se"), F.count("score").alias("n"))
+    control = Control(spark, parallel, lambda: data.exists(spark, f"{out}/STOP"))
+    scores = known_scores(spark, out, [digest(ds.train), code_fingerprint(), shape.seed, c.features, c.y, c.id, shape.stratify, metric])
+    try:
+        rows, est = _sweep(spark, sweep, ds, c, withs, metric, stratify, first, incumbent_of(old, shape) if auto_stop else None, control, scores)
+    finally:
+        keep_scores(spark, out, scores)
     append(spark, out, old, ledger_rows(spark, sweep, rows.collect()))  # a row for each configuration and fold
+    data.write_text(spark, f"{out}/code/{code_fingerprint()}.json", json.dumps(code_files()))
     return est
 
 
+def _sweep(spark: SparkSession, sweep: Sweep, ds: data.Dataset, c: Columns, withs: list[dict], metric: str, stratify: str | None, first: tuple, best: float | None, control: Control, scores: nested.Scores) -> tuple[DataFrame, DataFrame]:
+    shape = sweep.shape
+    if documents.resample_mode(len(withs)) == "nested":
+        configs = [(f, w["model"], w.get("decide")) for (f, _, _), w in zip(sweep.points, withs, strict=True)]
+        return nested.nested_cv(ds.train, c.features, c.y, c.id, configs, shape.k, metric, shape.inner_k, shape.rule, stratify, shape.seed, first, best, control, scores, **shape.options)
+    flat = nested.flat_cv(ds.train, c.features, c.y, c.id, withs[0]["model"], shape.k, metric, stratify, shape.seed, withs[0].get("decide"), first[0], control, scores)
+    rows = flat.select(F.lit("").alias("level"), F.lit(sweep.points[0][0]).alias("family"), F.lit(0).alias("ord"), F.lit(None).cast("int").alias("outer_fold"), "fold", "score", "complexity", F.lit(None).cast("string").alias("stopped"))
+    return rows, flat.agg(F.avg("score").alias("mean"), reduce.standard_error("score").alias("se"), F.count("score").alias("n"))
+
+
 def ledger_rows(spark: SparkSession, sweep: Sweep, rows: list) -> DataFrame:
     code, name = code_fingerprint(), sweep.train["id"]
     made = []
@@ -368,20 +430,23 @@ def choose(spark: SparkSession, path: str, out: str, cohort: str = "", point: st
     return out_rows.select("family", "ord", "config_key", "mean", "se", "n", "estimate", "estimate_se", is_ship.alias("is_ship"))
 
 
-def promote(spark: SparkSession, path: str, out: str, cohort: str = "", point: str = "") -> dict:
-    """Runs the ship configuration on all rows, without folds, then the ship phase; refused if the code has changed since."""
+def promote(spark: SparkSession, path: str, out: str, cohort: str = "", point: str = "", changed: bool = False) -> dict:
+    """Runs the ship configuration on all rows, without folds, then the ship phase.
+
+    Refused, with the names of what differs, if the code is not what made the rows; `changed` allows it.
+    """
     sweep = Sweep.of(data.read_text(spark, path))
     won = choose(spark, path, out, cohort, point).where("is_ship").first()
     if won is None:
         raise ValueError("nothing to promote")
     rows = read_ledger(spark, out)
     stored = ledger.resolve_prefix(rows, "code_fingerprint", cohort)
-    if stored != code_fingerprint():
-        raise ValueError("the code has changed since these rows were made")
+    if stored != code_fingerprint() and not changed:
+        raise ValueError(f"the code has changed since these rows were made: {', '.join(changed_code(spark, out, stored))}")
     value = sweep.points[won.ord][2]
     steps = [*sweep.shape.phases["data"], *[{**s, "with": value[s["id"]]} for s in sweep.shape.phases["pipeline"]], *sweep.shape.phases["ship"]]
     label = won.family.rsplit("=", 1)[-1] or "point"
-    return run_steps(spark, steps, sweep.shape.seed, os.path.dirname(path), f"{out}/best-{label}-{identity.canonical_hash(value)[:8]}")
+    return run_steps(spark, steps, sweep.shape.seed, os.path.dirname(path), f"{out}/best-{label}-{identity.canonical_hash(value)[:8]}", os.path.basename(path))
 
 
 def show(spark: SparkSession, out: str, objective: str, direction: str = "maximize", n: int = 20, cohort: str = "") -> DataFrame:
@@ -399,12 +464,55 @@ def fingerprints(spark: SparkSession, out: str) -> DataFrame:
     return rows.groupBy("code_fingerprint").agg(F.count("*").alias("rows"), F.count_if(F.col("level") == "inner").alias("inner_rows"), F.count_if(F.col("level") == "outer").alias("outer_rows"), F.max("append_ord").alias("last")).orderBy("last", "code_fingerprint")
 
 
-def blend(spark: SparkSession, runs: list[str], out: str, weights: list[float] | None = None) -> str:
-    """Blends the probabilities of runs' predict steps (folders with probabilities.csv) into out; the blend's id."""
-    members = [data.read_probabilities(spark, f"{r}/probabilities.csv") for r in runs]
+def ship_steps(ship: list[dict]) -> tuple[dict, dict]:
+    """The step that predicts, the first that takes a model, and the one that submits, the last that takes predictions."""
+    of = lambda what: [s for s in ship if what in (s.get("with") or {})]
+    predicts, submits = of("model"), of("predictions")
+    if not predicts or not submits:
+        raise ValueError("the ship phase needs a step with a model and a step with predictions")
+    return predicts[0], submits[-1]
+
+
+def _member(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None, tuple | None]:
+    """Probabilities, offsets where its model has them, and what made it: the experiment and the code."""
+    run, name = os.path.split(folder.rstrip("/"))
+    probs = data.read_probabilities(spark, f"{folder}/probabilities.csv")
+    if not data.exists(spark, f"{run}/run.json"):
+        return probs, None, None
+    record = json.loads(data.read_text(spark, f"{run}/run.json"))
+    made = (record.get("experiment"), record.get("code_fingerprint"))
+    model = next((s["with"].get("model") for s in record["steps"] if s["step"] == name), None)
+    path = f"{run}/{model}/offsets.json"
+    if model is None or not data.exists(spark, path):
+        return probs, None, made
+    told = json.loads(data.read_text(spark, path))
+    offsets = spark.createDataFrame(list(zip(map(str, told["classes"]), told["offsets"], strict=True)), "class string, offset double")
+    if not decide.uncovered(probs, offsets).isEmpty():
+        raise ValueError(f"the offsets of {folder} are for other classes than its probabilities")
+    return probs, offsets, made
+
+
+def blend(spark: SparkSession, runs: list[str], out: str, weights: list[float] | None = None, mixed: bool = False, path: str = "") -> str:
+    """Blends the probabilities of runs' predict steps (folders with probabilities.csv) into out; the blend's id.
+
+    Each member's own offsets count. Members of several experiments or code versions are refused unless `mixed`.
+    With a shape's path, its submission step runs on the blend.
+    """
+    shape = documents.parse_shape(data.read_text(spark, path)) if path else None
+    predicts, submits = ship_steps(shape.phases["ship"]) if shape else ({"id": "predict"}, None)
+    members, offsets, made = map(list, zip(*[_member(spark, r) for r in runs], strict=True))
     shares = decide.weights_of(weights, len(members))
+    if len({m for m in made if m is not None}) > 1 and not mixed:
+        raise ValueError("members come from several experiments or code versions, which is not one procedure")
     if not decide.misaligned(members).isEmpty():
         raise ValueError("members have other ids or classes than one another")
-    name = decide.blend_id(list(zip(runs, shares, strict=True)))
-    decide.blend(members, shares).withColumnRenamed("label", "prediction").write.mode("overwrite").option("header", True).csv(f"{out}/{name}/predictions.csv")
+    pairs = list(zip(runs, shares, strict=True))
+    name = decide.blend_id(pairs)
+    here = f"{out}/{name}/{predicts['id']}"
+    decide.blend(members, shares, offsets).withColumnRenamed("label", "prediction").write.mode("overwrite").option("header", True).csv(f"{here}/predictions.csv")
+    if submits is not None:
+        done = {predicts["id"]: Output()}
+        resolved(submits["uses"])(Context(spark, os.path.dirname(path), f"{out}/{name}/{submits['id']}", shape.seed, done), submits.get("with") or {})
+    record = {"run_id": name, "experiment": os.path.basename(path), "status": "ok", "members": pairs, "code_fingerprint": code_fingerprint(), "finished": _now()}
+    data.write_text(spark, f"{out}/{name}/run.json", json.dumps(record))
     return name

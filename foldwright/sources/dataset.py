@@ -75,6 +75,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def load_dataset(spark: SparkSession, path: str) -> Dataset:
     """schema.json, train.parquet or train.csv, and test likewise where there is one."""
     d = json.loads(read_text(spark, f"{path}/schema.json"))

@@ -1,9 +1,10 @@
 import json
+import os
 
 import pytest
 
 from foldwright import __main__ as cli
-from foldwright.plans import documents, runner
+from foldwright.plans import documents, nested, runner
 
 SHAPE = """---
 type: experiment-shape
@@ -69,7 +70,9 @@ def test_an_experiment_runs_to_predictions(spark, root):
     here = f"{root}/runs/{r['run_id']}/predict"
     assert spark.read.option("header", True).csv(f"{here}/predictions.csv").count() == 16
     name = runner.blend(spark, [here, here], f"{root}/runs", [1.0, 2.0])
-    assert spark.read.option("header", True).csv(f"{root}/runs/{name}/predictions.csv").count() == 16
+    blended = spark.read.option("header", True).csv(f"{root}/runs/{name}/predict/predictions.csv")
+    alone = spark.read.option("header", True).csv(f"{here}/predictions.csv")
+    assert blended.count() == 16 and blended.exceptAll(alone).isEmpty()  # the member's offsets count in the blend too
 
 
 def test_a_failure_is_recorded(spark, root):
@@ -85,12 +88,13 @@ def test_a_sweep_is_chosen_and_promoted(spark, root):
     est = runner.run_shape(spark, f"{root}/shape.md", out).first()
     rows = runner.read_ledger(spark, out)
     assert est.n == 2 and rows.where("level = 'inner'").count() == 2 * 3 * 2 and rows.where("level = 'outer'").count() == 2 * 2
-    runner.run_shape(spark, f"{root}/shape.md", out)
-    assert runner.read_ledger(spark, out).count() == rows.count()  # nothing is there twice
+    again = runner.run_shape(spark, f"{root}/shape.md", out).first()
+    assert again == est and runner.read_ledger(spark, out).count() == rows.count()  # nothing is there twice
     won = runner.choose(spark, f"{root}/shape.md", out).collect()
     assert {w.family for w in won} == {"train.model=logreg", "train.model=rf"} and sum(w.is_ship for w in won) == 1
     assert runner.show(spark, out, "train.fold_score").count() == 3 + 2 * 2 and runner.fingerprints(spark, out).count() == 1
     r = runner.promote(spark, f"{root}/shape.md", out)
+    assert r["experiment"] == "shape.md"
     assert r["status"] == "ok" and r["metrics"]["predict.n_predictions"] == 16
 
 
@@ -106,3 +110,72 @@ def test_verbs(capsys):
     assert a.promote and a.cohort == "ab" and a.out == "runs"
     with pytest.raises(documents.DocumentError):
         runner.Sweep.of(SHAPE.replace("train.fold_score", "other.fold_score"))
+
+
+def test_what_is_known_is_not_fitted_again(spark, root, monkeypatch):
+    out, fits = f"{root}/runs", []
+    real = nested.fold_score
+    monkeypatch.setattr(nested, "fold_score", lambda *a, **k: fits.append(1) or real(*a, **k))
+    runner.run_shape(spark, f"{root}/shape.md", out, "out1in1")
+    first = len(fits)
+    assert first == 3 + 2
+    runner.run_shape(spark, f"{root}/shape.md", out, "out1in1")
+    assert len(fits) == first
+    monkeypatch.setattr(runner, "code_files", lambda: {"m": "other"})
+    runner.run_shape(spark, f"{root}/shape.md", out, "out1in1")
+    assert len(fits) == 2 * first  # other code, other scores
+
+
+def test_a_stop_keeps_the_outer_folds_that_are_done(spark, root, monkeypatch):
+    out, real = f"{root}/runs", nested.fold_score
+    n = []
+
+    def score(*a, **k):
+        n.append(1)
+        if len(n) == 9:  # the first outer fold takes 6 inner fits and 2 outer ones
+            runner.request_stop(spark, out)
+        return real(*a, **k)
+
+    monkeypatch.setattr(nested, "fold_score", score)
+    est = runner.run_shape(spark, f"{root}/shape.md", out, parallel=1).first()
+    assert est.n == 1 and {r.outer_fold for r in runner.read_ledger(spark, out).collect()} == {0} and len(n) == 9
+    assert runner.run_shape(spark, f"{root}/shape.md", out, parallel=1).first().n == 2 and len(n) == 16
+
+
+def test_promotion_names_the_code_that_changed(spark, root, monkeypatch):
+    out = f"{root}/runs"
+    runner.run_shape(spark, f"{root}/shape.md", out, "out1in1")
+    now = runner.code_files()
+    assert {"foldwright.operators.decide", "foldwright.plans.nested", "foldwright.functions.scalars"} <= set(now)
+    monkeypatch.setattr(runner, "code_files", lambda: now | {"foldwright.plans.nested": "other"})
+    with pytest.raises(ValueError, match="foldwright.plans.nested changed"):
+        runner.promote(spark, f"{root}/shape.md", out)
+    assert runner.promote(spark, f"{root}/shape.md", out, changed=True)["status"] == "ok"
+
+
+def test_a_blend_is_of_one_procedure_and_is_submitted(spark, root):
+    seen = []
+    runner.STEPS["any/submission"] = lambda ctx, w: seen.append(ctx.folder(w["predictions"])) or runner.Output()
+    try:
+        shape = SHAPE.replace("sweeper:", "  - id: hand_in\n    uses: any/submission\n    needs: [predict]\n    with: {predictions: predict}\nsweeper:")
+        with open(f"{root}/hand.md", "w") as f:
+            f.write(shape)
+        for code in ("a", "b"):
+            d = f"{root}/{code}/predict"
+            os.makedirs(d)
+            with open(f"{root}/{code}/run.json", "w") as f:
+                json.dump({"experiment": "hand.md", "code_fingerprint": code, "steps": [{"step": "predict", "with": {"model": "train"}}]}, f)
+            with open(f"{d}/probabilities.csv", "w") as f:
+                f.write("id,proba_0,proba_1\n1,0.6,0.4\n2,0.2,0.8\n")
+        both = [f"{root}/a/predict", f"{root}/b/predict"]
+        with pytest.raises(ValueError, match="one procedure"):
+            runner.blend(spark, both, f"{root}/runs")
+        name = runner.blend(spark, both, f"{root}/runs", mixed=True, path=f"{root}/hand.md")
+        assert seen == [f"{root}/runs/{name}/predict"]
+        os.makedirs(f"{root}/a/train")
+        with open(f"{root}/a/train/offsets.json", "w") as f:
+            json.dump({"offsets": [0.0], "classes": [0]}, f)
+        with pytest.raises(ValueError, match="other classes"):
+            runner.blend(spark, both, f"{root}/runs", mixed=True)
+    finally:
+        del runner.STEPS["any/submission"]
