@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import math
 from typing import Any
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwright.sources.dataset import read_text, write_text
+
 CLASSIFIERS = ("logreg", "rf", "hist_gbm", "catboost", "ensemble")
 REGRESSORS = ("ridge", "rf_reg", "hist_gbm_reg")
 
@@ -118,6 +121,22 @@ class Ensemble:
         return u.groupBy("id", "class").agg(F.sum("p").alias("p"))
 
 
+def save(model: Any, spark: SparkSession, path: str) -> None:
+    """A fitted model, an ensemble with all its members, under a path that Spark opens."""
+    members = model.members if isinstance(model, Ensemble) else [model]
+    for i, m in enumerate(members):
+        m.write().overwrite().save(f"{path}/{i}")
+    told = {"weights": model.weights, "classes": model.classes} if isinstance(model, Ensemble) else {}
+    write_text(spark, f"{path}/model.json", json.dumps({"members": len(members)} | told))
+
+
+def load(spark: SparkSession, path: str) -> Any:
+    """What save() wrote."""
+    told = json.loads(read_text(spark, f"{path}/model.json"))
+    members = [PipelineModel.load(f"{path}/{i}") for i in range(told["members"])]
+    return Ensemble(members, told["weights"], told["classes"]) if "weights" in told else members[0]
+
+
 def predictions(model: Any, df: DataFrame, id_col: str) -> DataFrame:
     """id, prediction: the class with the highest probability, the first of equals; a regressor's value."""
     if not isinstance(model, Ensemble) and len(model.stages) == 2:

@@ -80,10 +80,10 @@ def family_of(space: dict, coords: list[tuple[str, Any]]) -> str:
 
 
 def product(*dims: DataFrame) -> DataFrame:
-    """The product of small sets of values, as of parameters or of configurations and folds."""
+    """The product of sets of values, as of parameters or of configurations and folds; Catalyst broadcasts a side it knows to be small."""
     out = dims[0]
     for d in dims[1:]:
-        out = out.crossJoin(F.broadcast(d))
+        out = out.crossJoin(d)
     return out
 
 

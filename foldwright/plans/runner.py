@@ -53,7 +53,7 @@ class Context:
         found = self.outputs.get(ref)
         if found is not None and found.dataset is not None:
             return found.dataset
-        return data.load_dataset(self.spark, ref if "://" in ref else os.path.normpath(os.path.join(self.root, ref)))
+        return data.load_dataset(self.spark, data.beneath(self.root, ref))
 
     def folder(self, step: str) -> str:
         """Where a step of the same run leaves its files."""
@@ -158,6 +158,7 @@ def _train(ctx: Context, w: dict) -> Output:
         s, size = score(int(one["idx"]))
         return Output({"fold_score": s} | ({} if size is None else {"complexity": size}))
     out = Output(model=estimators.fit(ds.train, c.features, c.y, spec, ctx.seed))
+    estimators.save(out.model, ctx.spark, f"{ctx.out}/model")
     if holdout is not None:
         out.offsets = estimators.tuned_on_holdout(ds.train, c.features, c.y, c.id, spec, holdout, ctx.seed)
         rows = out.offsets.collect()  # a row for each class

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import posixpath
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,19 @@ def within(root: str, path: str) -> str:
     return full
 
 
+def beneath(root: str, ref: str) -> str:
+    """What a document names by a path beside itself: a whole address as it is, else a path that stays in the root."""
+    if "://" in ref:
+        return ref
+    if "://" not in root:
+        return within(root, os.path.join(root, ref))
+    head, _, top = root.partition("://")
+    full = posixpath.normpath(posixpath.join("/" + top, ref))
+    if full != posixpath.normpath("/" + top) and not full.startswith(posixpath.normpath("/" + top) + "/"):
+        raise PermissionError(f"{ref} is outside {root}")
+    return f"{head}://{full[1:]}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """By Spark's own file systems, so that a remote path works too."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
