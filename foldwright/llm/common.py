@@ -25,6 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side of at most so many rows and bytes may be broadcast; both are measured first.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 SALTS = 16
+#: Setting of the session: a job's shuffle files go when it ends. It holds for DataFrames made while it is set.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Seconds after which an idle Python worker lets go of what it remembers.
 REST = 20.0
 
@@ -108,6 +110,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_freed(df: DataFrame) -> DataFrame:
+    """As cut(); the shuffle files of df's job go as soon as it is written, whatever the JVM still refers to."""
+    conf = df.sparkSession.conf
+    was = conf.get(FREES, None)
+    conf.set(FREES, "true")
+    try:
+        return cut(df.select("*"))  # a DataFrame of its own, as the setting is read when one is made
+    finally:
+        conf.unset(FREES) if was is None else conf.set(FREES, was)
+
+
 def written(df: DataFrame) -> DataFrame:
     """As cut(), but as Parquet: for whole texts, as what reads it reads no columns but those it needs."""
     path = f"{checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import Aside, cut, release, ship, small_batches, table, trim
+from foldwright.llm.common import Aside, cut, cut_freed, ship, small_batches, table, trim
 
 ship(__name__)
 
@@ -282,12 +282,10 @@ def lm_scores(docs: DataFrame, prior: float = PRIOR, share: float = SHARE, text_
         trim()
         return pa.Table.from_batches([rows_of(row["block"], 3, keys, lambda p: packed_keys(keys[p]), counts)])
 
-    told = cut(dealt.select(*PARTS).mapInArrow(grams, KEYS).groupBy("kind", "bucket").applyInArrow(_told, TOLD))
-    release(spark)
+    # each round's shuffle files go before the next one writes its own
+    told = cut_freed(dealt.select(*PARTS).mapInArrow(grams, KEYS).groupBy("kind", "bucket").applyInArrow(_told, TOLD))
     asked = dealt.select(*PARTS).groupBy("block").cogroup(told.where("block >= 0 and kind = 2").groupBy("block")).applyInArrow(triples, KEYS)
-    told = told.unionByName(cut(asked.groupBy("kind", "bucket").applyInArrow(_told, TOLD)))
-    del asked
-    release(spark)
+    told = told.unionByName(cut_freed(asked.groupBy("kind", "bucket").applyInArrow(_told, TOLD)))
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

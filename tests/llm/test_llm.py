@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import random
 import re
@@ -165,6 +166,33 @@ def test_lm_is_brute_force(spark, texts, block):
         assert r._score == pytest.approx(want)
 
 
+def test_lm_frees_the_shuffle_files_of_each_round(spark, texts, monkeypatch):
+    key, at, wrote, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark.conf, set(), []
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    d = docs_of(spark, texts).select("doc_id", "text", F.lit(True).alias("train"))
+    plain = type(d).checkpoint
+
+    def left():
+        end = time.monotonic() + 10
+        while (n := len(files() & wrote)) and time.monotonic() < end:
+            time.sleep(0.1)
+        return n
+
+    def checkpoint(df):
+        seen.append(left())  # of the rounds before
+        before = files()
+        out = plain(df)
+        wrote.update(files() - before)
+        return out
+
+    monkeypatch.setattr(type(d), "checkpoint", checkpoint)
+    was = at.get(key, None)
+    out = lm.lm_scores(d, block_bytes=500, bucket_grams=200)
+    assert [*seen, left()] == [0] * 4 and at.get(key, None) == was
+    assert out.count() == len(texts)
+
+
 def test_words_of_equal_hash_keep_apart(monkeypatch):
     monkeypatch.setattr(lm.xxhash, "xxh64_intdigest", lambda w: 7)
     b = lm.Block(lm.packed_texts(["a b a", "c"], [True, False]))
